@@ -27,7 +27,7 @@ def _name(col: str) -> Column:
     return F.lower(F.regexp_replace(F.col(col), r"(?U)^\s+|\s+$", ""))
 
 
-def plan_mixture(docs: DataFrame, targets: DataFrame, block_tokens: int = 4096, id_col: str = "doc_id", seed: int = 17, **tokenizer: str) -> DataFrame:
+def plan_mixture(docs: DataFrame, targets: DataFrame, block_tokens: int = 1024, id_col: str = "doc_id", seed: int = 17, **tokenizer: str) -> DataFrame:
     """``slot, source, block, doc_id, repeat, tokens``: the mixture, document by document, in order of ``slot``.
 
     ``docs`` has ``id_col, text, source``; ``targets`` has ``source, target_share,
@@ -66,7 +66,7 @@ def plan_mixture(docs: DataFrame, targets: DataFrame, block_tokens: int = 4096,
     # A source's slots are spaced evenly within one, so its blocks are as many as its share of all slots asks for.
     low, cuts = 0.0, []
     for source, (tokens, share, most) in sorted(stock.items()):
-        cuts.append((source, low, low + share / whole, tokens, most))
+        cuts.append((source, low, low + share / whole, tokens, min(most, int(total * share / whole / tokens) + 2)))
         low += share / whole
     weights = spark.createDataFrame(cuts, "source string, low double, high double, stock long, most int")
 
