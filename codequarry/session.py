@@ -18,6 +18,7 @@ def get_spark(app: str = "codequarry", cores: int | str = "*", partitions: int =
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("CODEQUARRY_DRIVER_MEMORY", "8g"))
         .config("spark.driver.host", "127.0.0.1")
         .getOrCreate()
