@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm import mixing, splitting, tokens, vectors
+from codequarry.llm import mixing, neardup, splitting, tagpairs, tokens, vectors
 from codequarry.session import read_table, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,12 +21,20 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_oversized(read_table(spark, sf_dir, "chunks"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tagpairs.similar_tag_sets(read_table(spark, sf_dir, "chunk_tags"), read_table(spark, sf_dir, "chunks"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = vectors.most_similar(read_table(spark, sf_dir, "chunks_vec"))
     pair = [F.least("chunk_id", "neighbour").alias("chunk_id_a"), F.greatest("chunk_id", "neighbour").alias("chunk_id_b")]
     return near.select(*pair).distinct()
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicate_chunks(read_table(spark, sf_dir, "chunks"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(read_table(spark, sf_dir, "documents"))
 
@@ -41,7 +49,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [p3_found, p3_pieces, p5_found, p8_ids, p9_mix, p9_shares]
+    own = [p3_found, p3_pieces, p4_found, p5_found, p6_found, p8_ids, p9_mix, p9_shares]
     return {f.__name__: f for f in own}
 
 
@@ -53,4 +61,18 @@ def oracle_sql() -> dict[str, str]:
                OR length(content) - length(replace(content, chr(10), ''))
                   + CASE WHEN content = '' OR right(content, 1) = chr(10) THEN 0 ELSE 1 END > 512
         """,
+        "p4_found": r"""
+            WITH t AS (
+                SELECT chunk_id, lower(regexp_replace(tag, '^\s+|\s+$', '', 'g')) AS tag, max(coalesce(weight, 1)) AS w
+                FROM chunk_tags WHERE tag IS NOT NULL AND chunk_id IN (SELECT chunk_id FROM chunks) GROUP BY 1, 2
+            ), k AS (
+                SELECT * FROM t WHERE tag <> '' AND chunk_id IN (SELECT chunk_id FROM t WHERE tag <> '' GROUP BY 1 HAVING count(*) >= 4)
+            ), s AS (SELECT chunk_id, sum(w) AS s FROM k GROUP BY 1), p AS (
+                SELECT a.chunk_id AS x, b.chunk_id AS y, sum(least(a.w, b.w)) AS m
+                FROM k AS a JOIN k AS b ON a.tag = b.tag AND a.chunk_id < b.chunk_id GROUP BY 1, 2
+            )
+            SELECT x AS chunk_id_a, y AS chunk_id_b
+            FROM p JOIN s AS c ON c.chunk_id = x JOIN s AS d ON d.chunk_id = y
+            WHERE m >= 0.75 * (c.s + d.s - m)
+        """,
     }
