@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm import mixing, neardup, splitting, tagpairs, tokens, vectors
+from codequarry.llm import docpairs, mixing, neardup, secrets, splitting, tagpairs, tokens, vectors
 from codequarry.session import read_table, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docpairs.function_doc_pairs(read_table(spark, sf_dir, "chunks")).select("chunk_id").distinct()
+
+
+def p1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docpairs.distinct_pairs(docpairs.function_doc_pairs(read_table(spark, sf_dir, "chunks")))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_oversized(read_table(spark, sf_dir, "chunks")).select("chunk_id").distinct()
 
@@ -35,6 +43,14 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_chunks(read_table(spark, sf_dir, "chunks"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.found_lines(secrets.redacted_chunks(read_table(spark, sf_dir, "chunks")))
+
+
+def p7_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.redacted_chunks(read_table(spark, sf_dir, "chunks")).dropDuplicates(["chunk_id"]).select("chunk_id", "content")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(read_table(spark, sf_dir, "documents"))
 
@@ -49,7 +65,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [p3_found, p3_pieces, p4_found, p5_found, p6_found, p8_ids, p9_mix, p9_shares]
+    own = [p1_found, p1_pairs, p3_found, p3_pieces, p4_found, p5_found, p6_found, p7_found, p7_redacted, p8_ids, p9_mix, p9_shares]
     return {f.__name__: f for f in own}
 
 
