@@ -65,7 +65,7 @@ def _signatures(depth: int):
         return x ^ (x >> np.uint64(33))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = ["cls", "sketch", *(f"k{d}" for d in range(SHALLOWEST, depth + 1))]
+        fields = ["cls", "sketch", "key", "deeper"]
         for b in batches:
             for s in range(0, b.num_rows, 4096):
                 part = b.slice(s, 4096)
@@ -85,14 +85,16 @@ def _signatures(depth: int):
                 bits = (least[:, -64:] >> np.uint64(17)) & np.uint64(1)
                 sketch = (bits << np.arange(64, dtype=np.uint64)).sum(1, dtype=np.uint64).view(np.int64)
                 for tree in range(TREES):
-                    key, keys = np.full(len(cls), tree + 1, np.uint64), []
+                    key, deeper = np.full(len(cls), tree + 1, np.uint64), np.zeros(len(cls), np.uint64)
                     for d in range(depth):
-                        key = mix(key * np.uint64(31) + least[:, tree * depth + d])
-                        if d + 1 >= SHALLOWEST:
-                            keys.append(pa.array(key.view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(sketch), *keys], fields)
+                        value = least[:, tree * depth + d]
+                        if d < SHALLOWEST:
+                            key = mix(key * np.uint64(31) + value)
+                        else:
+                            deeper |= (value >> np.uint64(40) & np.uint64(0xFFFF)) << np.uint64(16 * (d - SHALLOWEST))
+                    yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(sketch), pa.array(key.view(np.int64)), pa.array(deeper.view(np.int64))], fields)
 
-    return sign, "cls long, sketch long, " + ", ".join(f"k{d} long" for d in range(SHALLOWEST, depth + 1))
+    return sign, "cls long, sketch long, key long, deeper long"
 
 
 def similar_sets(sets: DataFrame, threshold: float = 0.75) -> tuple[DataFrame, DataFrame]:
@@ -105,12 +107,11 @@ def similar_sets(sets: DataFrame, threshold: float = 0.75) -> tuple[DataFrame, D
     classes = members.dropDuplicates(["cls"]).select("cls", "items")
     depth = deepest(threshold)
     sign, schema = _signatures(depth)
-    rows = classes.mapInArrow(sign, schema).withColumnRenamed(f"k{SHALLOWEST}", "key")
-    rows = counted(rows, "key")
-    for d in range(SHALLOWEST + 1, depth + 1):
-        # Nested: rows of one deeper prefix lie in one shallower prefix, so no further shuffle is needed.
-        deeper = F.when(F.col("n") > WIDE, F.col(f"k{d}")).otherwise(F.col("key"))
-        rows = rows.withColumn("key", deeper).drop(f"k{d}")
+    rows = counted(classes.mapInArrow(sign, schema), "key")
+    for d in range(SHALLOWEST, depth):
+        # 16 bits of the next value deepen the prefix.
+        value = F.shiftright("deeper", 16 * (d - SHALLOWEST)).bitwiseAND(F.lit(0xFFFF))
+        rows = rows.withColumn("key", F.when(F.col("n") > WIDE, F.xxhash64("key", value, F.lit(d))).otherwise(F.col("key")))
         rows = counted(rows.drop("n"), "key")
     bits = 64 * (1 - threshold) / 2
     most = int(bits + SKETCH_SIGMAS * (64 * (1 + threshold) / 2 * (1 - threshold) / 2 / 1) ** 0.5)
