@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm import docpairs, mixing, neardup, secrets, splitting, tagpairs, tokens, vectors
+from codequarry.llm import docpairs, mixing, neardup, provenance, secrets, splitting, tagpairs, tokens, vectors
 from codequarry.session import read_table, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,14 @@ def p1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docpairs.distinct_pairs(docpairs.function_doc_pairs(read_table(spark, sf_dir, "chunks")))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return provenance.file_evidence(read_table(spark, sf_dir, "chunks")).select("file_path")
+
+
+def p2_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return provenance.file_evidence(read_table(spark, sf_dir, "chunks"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_oversized(read_table(spark, sf_dir, "chunks")).select("chunk_id").distinct()
 
@@ -65,7 +73,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [p1_found, p1_pairs, p3_found, p3_pieces, p4_found, p5_found, p6_found, p7_found, p7_redacted, p8_ids, p9_mix, p9_shares]
+    own = [p1_found, p1_pairs, p2_found, p2_evidence, p3_found, p3_pieces, p4_found, p5_found, p6_found, p7_found, p7_redacted, p8_ids, p9_mix, p9_shares]
     return {f.__name__: f for f in own}
 
 
