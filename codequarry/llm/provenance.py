@@ -1,8 +1,8 @@
 """Files that nobody on the project wrote by hand (problem 2).
 
 A file is generated, minified, vendored or a data blob. Evidence is in its path, in
-the comments before the first code of any of its chunks, in the shape of its text,
-and in its fingerprints: token streams are normalized (numbers and strings become
+the comments before the first and after the last code of any of its chunks, in the
+shape of its text, and in its fingerprints: token streams are normalized (numbers and strings become
 one token each), k-grams are hashed, and winnowing keeps the smallest hash of each
 window. A file most of whose fingerprints recur in many unrelated repositories is a
 vendored copy. Hot fingerprints are counted per repository before they meet.
@@ -73,10 +73,20 @@ def header(text: str) -> list[str]:
     return out
 
 
+def footer(text: str) -> list[str]:
+    """The comment lines after the last code, without their marks."""
+    out = []
+    for line in reversed(text.rstrip().split("\n")):
+        if line.strip() and not _COMMENT.match(line):
+            break
+        out.append(re.sub(r"\*+/\s*$|-->\s*$", "", _COMMENT.sub("", line)).strip())
+    return out
+
+
 def text_evidence(text: str) -> list[str]:
     """``generated``, ``minified``, ``vendored`` and ``data``, as far as the content of a chunk shows them."""
     found = set()
-    lines = header(text)
+    lines = header(text) + footer(text)
     own = any(OWN in x.lower() for x in lines)
     for line in lines:
         if _GENERATED.search(line) and not _NOT_GENERATED.search(line):
