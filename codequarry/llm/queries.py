@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm import docpairs, mixing, neardup, provenance, secrets, splitting, tagpairs, tokens, vectors
+from codequarry.llm import docpairs, mixing, neardup, provenance, secrets, sentences, splitting, tagpairs, tokens, vectors
 from codequarry.session import read_table, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,8 +72,19 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.reached_shares(mixture, read_table(spark, sf_dir, "mix_targets"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.split_sentences(read_table(spark, sf_dir, "documents")).select("doc_id", "end_char").distinct()
+
+
+def p10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.split_sentences(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    own = [p1_found, p1_pairs, p2_found, p2_evidence, p3_found, p3_pieces, p4_found, p5_found, p6_found, p7_found, p7_redacted, p8_ids, p9_mix, p9_shares]
+    own = [
+        p1_found, p1_pairs, p2_found, p2_evidence, p3_found, p3_pieces, p4_found, p5_found, p6_found,
+        p7_found, p7_redacted, p8_ids, p9_mix, p9_shares, p10_found, p10_sentences,
+    ]
     return {f.__name__: f for f in own}
 
 
