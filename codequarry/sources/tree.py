@@ -39,8 +39,9 @@ def ignore_pattern(rule: str) -> str | None:
     rule = rule.rstrip("\n").rstrip()
     if not rule or rule.startswith("#"):
         return None
-    folder, rule = rule.endswith("/"), rule.strip("/") if rule.startswith("/") else rule.rstrip("/")
-    anchored = "/" in rule
+    folder = rule.endswith("/")
+    anchored = "/" in rule.rstrip("/")
+    rule = rule.strip("/")
     out, i = "", 0
     while i < len(rule):
         c = rule[i]
