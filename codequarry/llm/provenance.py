@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codequarry.session import staged
+
 #: Tokens of a k-gram, and k-grams of a window of which one hash is kept.
 GRAM, WINDOW = 12, 16
 #: A fingerprint is widespread from so many repositories on; a file is a copy if it has at least so many fingerprints and this share of them is widespread.
@@ -157,7 +159,8 @@ def file_evidence(chunks: DataFrame) -> DataFrame:
     nothing. Other columns are ignored.
     """
     rows = chunks.select("file_path", "content").filter(F.col("file_path").isNotNull())
-    seen = rows.mapInArrow(_inspect, "file_path string, evidence array<string>, prints array<long>")
+    # Read three times below; the inspection of the texts is by far the dearest step.
+    seen = staged(rows.mapInArrow(_inspect, "file_path string, evidence array<string>, prints array<long>"), "inspected")
     by_text = seen.select("file_path", F.explode("evidence").alias("reason")).distinct()
     by_path = rows.select("file_path").distinct()
     by_path = by_path.select("file_path", F.explode(F.array_compact(F.array(*(F.when(F.col("file_path").rlike(p), F.lit(r)) for r, p in PATHS.items())))).alias("reason"))
