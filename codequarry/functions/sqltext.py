@@ -42,14 +42,14 @@ KINDS = [
     ("const", "grant", rf"(?:GRANT|REVOKE)\s+.*?\bON\s+(?:TABLE\s+|SCHEMA\s+|FUNCTION\s+)?{_NAME}"),
 ]
 
-# One statement: quoted parts, comments and other characters up to the semicolon; a line GO ends one too.
-_STATEMENT = r"(?:'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`|--[^\n]*|/\*(?:[^*]|\*(?!/))*\*/|(\$\w*\$)(?:(?!\1)[\s\S])*\1|\$(?!\w*\$)|(?!(?<=\n)[ \t]*GO[ \t]*(?:\r?\n|$))[^;'\"`$/-]|-(?!-)|/(?!\*)|['\"`])++"
+# One statement: quoted parts, comments and other characters up to the semicolon.
+_STATEMENT = r"(?:'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`|--[^\n]*|/\*(?:[^*]|\*(?!/))*\*/|(\$\w*\$)(?:(?!\1)[\s\S])*\1|\$(?!\w*\$)|[^;'\"`$/-]|-(?!-)|/(?!\*)|['\"`])++"
 
 
 def statements(source: Column) -> Column:
-    """The statements of SQL source, without the semicolons or ``GO`` lines between them; strings, quoted names, comments and dollar quotes are kept whole."""
-    parts = F.regexp_extract_all(source, F.lit(_STATEMENT), 0)
-    bare = F.transform(parts, lambda s: F.regexp_replace(s, r"(?i)^\s*GO[ \t]*(?:\r?\n|$)|^\s+|\s+$", ""))
+    """The statements of SQL source, without the semicolons or ``GO`` lines between them; strings, quoted names, comments and dollar quotes are kept whole. A ``GO`` alone on a line counts as one wherever it stands."""
+    parts = F.regexp_extract_all(F.regexp_replace(source, r"(?im)^[ \t]*GO[ \t]*\r?$", ";"), F.lit(_STATEMENT), 0)
+    bare = F.transform(parts, lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
     return F.filter(bare, lambda s: F.trim(F.regexp_replace(s, r"--[^\n]*|(?s)/\*.*?\*/", "")) != "")
 
 

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 LANGUAGES = {".go": "go", ".ts": "typescript", ".tsx": "tsx", ".js": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".jsx": "jsx", ".py": "python", ".pyi": "python", ".rs": "rust", ".java": "java", ".cpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".c": "cpp", ".hpp": "cpp", ".hh": "cpp", ".h": "cpp", ".cs": "csharp", ".svelte": "svelte", ".sql": "sql", ".pgsql": "sql", ".plpgsql": "sql", ".mysql": "sql"}
 
 
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def language_of(path: Column) -> Column:
     """The language of a path by its last extension; null if unknown."""
     pairs = [F.lit(x) for item in LANGUAGES.items() for x in item]
@@ -49,14 +53,14 @@ def block_comment_above(source: Column, line: Column) -> Column:
     """The text of a ``/* */`` comment that ends on the line above, else of ``//`` lines; null if there is neither."""
     before = F.array_join(F.slice(F.split(source, "\n", -1), F.lit(1), F.greatest(F.lit(0), line - 1)), "\n")
     block = F.regexp_extract(before, r"(?s)/\*\*?((?:(?!\*/).)*)\*/[ \t\r]*$", 1)
-    clean = F.trim(F.regexp_replace(block, r"(?m)^[ \t]*\*[ \t]?", ""))
+    clean = _stripped(F.regexp_replace(block, r"(?m)^[ \t]*\*[ \t]?", ""))
     return F.when(block != "", clean).otherwise(comment_above(source, line, "//"))
 
 
 def docstring(source: Column) -> Column:
     """The leading string literal of a Python function's body, without its quotes; null if there is none."""
     found = F.regexp_extract(source, r"""(?s)^\s*(?:async\s+)?(?:def|class)\b[^\n]*?:[ \t]*(?:#[^\n]*)?\n\s*[rRuU]?("{3}|'{3})(.*?)\1""", 2)
-    return F.when(found != "", F.trim(found))
+    return F.when(found != "", _stripped(found))
 
 
 def script_blocks(source: Column) -> Column:
@@ -79,4 +83,4 @@ def script_blocks(source: Column) -> Column:
 
 def template_text(source: Column) -> Column:
     """A component file without its script and style blocks."""
-    return F.trim(F.regexp_replace(source, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", ""))
+    return _stripped(F.regexp_replace(source, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", ""))
