@@ -58,12 +58,12 @@ _LINT = re.compile(
 _NOTICE = re.compile(
     r"copyright|©|\(c\)\s*\d{4}|all rights reserved|spdx-|licen[sc]ed?\b.{0,60}\b(?:under|terms|see|file|apache|mit|bsd|gpl|mpl)|\b(?:apache|mit|bsd|gpl|lgpl|mpl|isc)[- ](?:licen[sc]e|style)|redistribution and use|without warranty|\bas is\b.{0,20}without|permission is hereby|source terms|"
     r"\b(?:auto[- ]?generated|machine[- ](?:written|generated)|generated (?:by|from|code|file|with|automatically)|(?:code|file|this) (?:is |was )?(?:auto)?generated|built automatically|produced by a tool|do not (?:edit|modify|patch|touch|change)|don't edit|never edit|edits? (?:will be|are) (?:lost|overwritten)|changes will be lost|edit the (?:schema|source|template) instead|to refresh$|hand edits|(?:get|gets|be|are|is) overwritten|this is an? \w+ artifact)|"
-    r"\bvendored\b|third[- ]party|upstream (?:licence|license|revision|commit)|mirrored for|taken unchanged|\bminified\b|source tree:|kept by hand|idea borrowed from|</?auto-generated|automatisch (?:erzeugt|generiert)|nicht (?:bearbeiten|ändern)|autogenerado|generado autom|no (?:modificar|editar)|généré automatiquement|ne pas modifier|자동\s*생성|수정하지 마|自動生成|編集しない|自动生成|请勿(?:修改|编辑)|не редактировать|сгенерирован|-----begin|^@(?:license|preserve|copyright|file|fileoverview)\b",
+    r"\bvendored\b|third[- ]party|upstream (?:licence|license|revision|commit)|mirrored for|taken unchanged|\bminified\b|source tree:|kept by hand|idea borrowed from|</?auto-generated|automatisch (?:erzeugt|generiert)|nicht (?:bearbeiten|ändern)|autogenerado|generado autom|no (?:modificar|editar)|généré automatiquement|ne pas modifier|자동\s*생성|수정하지 마|自動生成|編集しない|自动生成|请勿(?:修改|编辑)|не редактировать|сгенерирован|-----begin|^[\w.@/-]+(?: [\w.-]+)? v?\d+\.\d+(?:\.\d+)*$|^@(?:license|preserve|copyright|file|fileoverview)\b",
     re.I,
 )
 _CODE = re.compile(
     r"[;{}]\s*$|^\s*[})\]]|=>|^(?:if|for|while|switch|match|elif|else if|catch|with|unless)\b.*[({:]\s*$|^(?:if|for|while|switch)\s*\(|^(?:else|try|finally|do|loop)\s*[:{]?$|^(?:const|let|var|auto|mut)\s+\S+.*=|^(?:return|throw|raise|yield|await|defer|delete|assert)\b\s+[\w\"'(\[{!&*.-]+[\w.\[\]]*(?:\(.*|\s*[=!<>+*/-]=?.*)?$|"
-    r"^(?:import|from|using|package|include|require)\s+[\w.\"'<]+(?:\s+import\s+.*)?$|^[\w.\[\]>*&-]+(?:\s*:\s*[\w<>\[\], ]+)?\s*(?::=|\+=|-=|\*=|/=|<-|=(?!=))\s*\S|^(?:await\s+)?[\w$]+(?:(?:\.|::|->)[\w$]+)*!?\(.*\)\s*[;?]?\s*$|^(?:def|func|fn|function|class|public|private|protected|static|void|async)\s+\w+.*[({:]|^(?:SELECT|INSERT|UPDATE|DELETE|DROP|CREATE|ALTER)\s.*(?:FROM|INTO|SET|WHERE|TABLE)|^[\w<>:, ]+[*&]?\s+\w+\s*=\s*\S|^(?:case\s.+|default)\s*:$|^</?\w+[^>]*>$",
+    r"^(?:import|from|using|package|include|require)\s+[\w.\"'<]+(?:\s+import\s+.*)?$|^[\w.\[\]>*&-]+(?:\s*:\s*[\w<>\[\], ]+)?\s*(?::=|\+=|-=|\*=|/=|<-|=(?!=))\s*\S|^(?:await\s+)?[\w$]+(?:(?:\.|::|->)[\w$]+)*!?\(.*\)\s*[;?]?\s*$|^(?:def|func|fn|function|class|public|private|protected|static|void|async)\s+\w+.*[({:]|^(?:SELECT|INSERT|UPDATE|DELETE|DROP|CREATE|ALTER)\s.*(?:FROM|INTO|SET|WHERE|TABLE)|^[\w<>:, ]+[*&]?\s+\w+\s*=\s*\S|^(?:case\s.+|default)\s*:$|^[\w$]+(?:\s*,\s*[\w$]+)+\s*:?=\s|^[\w.]+\[[^\]]*\]\s*[-+*/]?=\s|\b(?:LOOP|THEN)\s*$|^(?:FOR|IF|WHILE|PERFORM|RETURN|RAISE|EXECUTE|DECLARE|BEGIN|END)\b[^a-z]*(?:[a-z_]|$)|^</?\w+[^>]*>$",
 )
 _SECTION = re.compile(r"^(?:args?|arguments?|param(?:eter)?s?|returns?|return values?|raises|throws|yields|notes?|examples?|inputs?|outputs?|see also|attributes|parameter|rückgabe|parámetros|paramètres|引数|戻り値|参数|返回(?:值)?|매개변수|반환(?:값)?)\s*[:：]?\s*[-=]*$", re.I)
 _PARAM = re.compile(

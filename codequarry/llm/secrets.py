@@ -22,6 +22,8 @@ from codequarry.llm.tokens import encoding, rank_file
 
 #: Strings with fewer characters per subword than this are unnatural.
 UNNATURAL = 2.7
+#: The longest name that may ask for a secret.
+MAX_NAME = 40
 #: What a secret's characters are replaced by.
 MASK = "*"
 
@@ -57,7 +59,7 @@ _KEY_OF = {"api", "access", "secret", "private", "signing", "encryption", "servi
 #: Words of names that stand for something other than the secret itself.
 _OTHER = {"field", "name", "names", "pattern", "regex", "regexp", "hint", "label", "message", "msg", "error", "url", "uri", "endpoint", "path", "file", "filename", "dir", "type", "kind", "length", "len", "count", "min", "max", "id", "ids", "header", "prefix", "suffix", "placeholder", "title", "text", "help", "description", "desc", "public", "pub", "trace", "cache", "primary", "partition", "sort", "foreign", "object", "idempotency", "hash", "digest", "checksum", "policy", "expiry", "ttl", "rule", "rules", "format", "column", "param", "parameter", "parameters", "env", "var", "index", "map", "ring", "board", "press", "down", "up", "code", "word", "alphabet", "example", "strength", "i18n", "issuer", "audience", "scope", "scopes", "provider", "algorithm", "alg", "version", "etag", "integrity", "lookup"}
 _PLACEHOLDER = re.compile(
-    r"^[<\[{(].*[>\]})]$|^(?:\*+|x+|\.+|-+|_+|#+|•+|0+|1234567?8?9?0?)$|\$\{|\{\{|\$\(|%\(?\w*\)?[sd]|^\{\w*\}$|\{\w+\}|^\$[A-Z_a-z]\w*$|^%\w+%$|^@\w+@$|<[\w \-]+>|\.\.\.|…|"
+    r"^[<\[{(].*[>\]})]$|^(?:\*+|x+|\.+|-+|_+|#+|•+|0+|1234567?8?9?0?)$|\$\{|\{\{|\$\(|^%[sdv]$|%\(\w+\)[sd]|(?<!\w)%[sdv](?!\w)|^\{\w*\}$|\{\w+\}|^\$[A-Z_a-z]\w*$|^%\w+%$|^@\w+@$|<[\w \-]+>|\.\.\.|…|"
     r"^(?:change|replace|insert|enter|put|add|fill|set|use|type|paste)[\-_ ]?(?:me|this|it|here|with|your|in|an?)?|(?:^|[\W_])(?:your|my|some|the)[\W_]?(?:own)?[\W_]?(?:api|secret|token|pass|key|auth|access|client|db|app)|(?:goes|put|insert)[\W_]?here|[\W_]here$|"
     r"place[\-_ ]?holder|example|sample(?:[\W_]|$)|dummy|fake|mock|redacted|masked|hidden|removed|todo|fixme|tbd|changeme|change_me|replace_me|not[\W_]?set|unset|undefined|null|none|empty|n/a|xxxx|\*{3,}|^test$|^secret$|^password$|^token$|^(?:process\.env|os\.environ|env|secrets|vault|ssm|arn|config|ref|file|gcp|aws|azure|op|keyring)[.:/]",
     re.I,
@@ -138,7 +140,8 @@ def find_secrets(text: str, path: str) -> list[tuple[int, int]]:
         if not before.strip(" \t(") and line > 1:
             before = text[max(0, s - _BEFORE) : s]
         named = _NAMED.search(before)
-        if named and (ask := _asks(named["name"])) and _is_secret(value, ask, path):
+        # A longer name is a literal before this one, not a name.
+        if named and len(named["name"]) <= MAX_NAME and (ask := _asks(named["name"])) and _is_secret(value, ask, path):
             spans += [(s + 1, e - 1) for s, e in parts]
     if re.search(r"\b(?:basic|bearer|token|apikey|digest) ", text, re.I):
         for m in _HEADER.finditer(text):
