@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codequarry.llm.buckets import blocked, counted, expand_classes
+from codequarry.llm.buckets import blocked, expand_classes, over_buckets, sized
 from codequarry.session import staged
 
 BANDS, ROWS = 26, 4
@@ -160,7 +160,7 @@ def _traverse(one: _Tree, two: _Tree, same: bool, threshold: float) -> tuple[np.
 
 
 def _tree_join(threshold: float):
-    """Arrow function over rows sorted by ``key, bi, bj``: candidate pairs of each bucket."""
+    """Candidate pairs of each bucket, by its tree."""
 
     def bucket(cls: np.ndarray, size: np.ndarray, bits: np.ndarray, block: np.ndarray, bi: int, bj: int) -> tuple[np.ndarray, np.ndarray]:
         order = np.lexsort((cls, size, bits[:, 0]))
@@ -175,18 +175,9 @@ def _tree_join(threshold: float):
         a, b = _traverse(_Tree(bits[left], size[left]), _Tree(bits[right], size[right]), False, threshold)
         return cls[left][a], cls[right][b]
 
-    def emit(t: pa.Table, last: bool) -> tuple[pa.RecordBatch | None, pa.Table]:
-        key, bi, bj = (np.asarray(t[c]) for c in ("key", "bi", "bj"))
-        new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])])
-        ends = np.r_[new[1:], len(key)]
-        rest = t.slice(len(key)) if last else t.slice(new[-1])
-        if not last:
-            new, ends = new[:-1], ends[:-1]
-        if not len(new):
-            return None, rest
-        n = ends[-1]
-        cls, size, block = (np.asarray(t[c])[:n] for c in ("cls", "size", "block"))
-        bits = np.frombuffer(b"".join(t["bitmap"].slice(0, n).to_pylist()), np.uint64).reshape(n, -1)
+    def compare(t: pa.Table, new: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+        cls, size, block, bi, bj = (np.asarray(t[c]) for c in ("cls", "size", "block", "bi", "bj"))
+        bits = np.frombuffer(b"".join(t["bitmap"].to_pylist()), np.uint64).reshape(len(cls), -1)
         count = ends - new
         outs: list[tuple[np.ndarray, np.ndarray]] = []
         # Buckets of two, by far the most, are one node pair each and are tested together.
@@ -197,31 +188,14 @@ def _tree_join(threshold: float):
             need = np.maximum(threshold / (1 + threshold) * (size[two] + size[two + 1]), threshold * np.maximum(size[two], size[two + 1]))
             two = two[most >= need - 1e-9]
             outs.append((cls[two], cls[two + 1]))
-        for s, e in zip(new[count > 2], ends[count > 2], strict=True):
+        rest = (count > 2) | (bi[new] != bj[new])
+        for s, e in zip(new[rest], ends[rest], strict=True):
             outs.append(bucket(cls[s:e], size[s:e], bits[s:e], block[s:e], bi[s], bj[s]))
-        for s in new[(count == 2) & (bi[new] != bj[new])]:
-            outs.append(bucket(cls[s : s + 2], size[s : s + 2], bits[s : s + 2], block[s : s + 2], bi[s], bj[s]))
-        a, b = (np.concatenate(x) if outs else np.empty(0, np.int64) for x in (zip(*outs, strict=True) if outs else ((), ())))
+        a, b = (np.concatenate(x) for x in zip(*outs, strict=True)) if outs else (np.empty(0, np.int64),) * 2
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"]), rest
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            t = pa.Table.from_batches([b])
-            held = t if held is None else pa.concat_tables([held, t]).combine_chunks()
-            if held.num_rows > 50_000:
-                out, held = emit(held, False)
-                if out is not None:
-                    yield out
-        if held is not None and held.num_rows:
-            out, _ = emit(held, True)
-            if out is not None:
-                yield out
-
-    return join
+    return compare
 
 
 def _exact(threshold: float):
@@ -254,12 +228,9 @@ def near_duplicates(records: DataFrame, text: Column, threshold: float = 0.7, wo
     members = signed.select("id", "cls").distinct()
     classes = signed.select("cls", "size", "bitmap", "bands").dropDuplicates(["cls"])
     rows = classes.select("cls", F.explode("bands").alias("key"))
-    rows = counted(rows, "key")
-    spread = blocked(rows, "key", "cls").drop("n")
+    spread = blocked(sized(rows, "key"), "key", "cls").drop("n")
     spread = spread.join(signed.select("cls", "size", "bitmap").dropDuplicates(["cls"]), "cls")
-    columns = ["key", "bi", "bj", "block", "cls", "size", "bitmap"]
-    sorted_rows = spread.select(*columns).repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    pairs = sorted_rows.mapInArrow(_tree_join(threshold), "a long, b long").distinct()
+    pairs = over_buckets(spread, "key", ["cls", "size", "bitmap"], _tree_join(threshold), "a long, b long").distinct()
     sets = signed.select("cls", "members").dropDuplicates(["cls"])
     full = pairs.join(sets.select(F.col("cls").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("members").alias("y")), "b")
     return full.mapInArrow(_exact(threshold), "a long, b long, similarity double"), members

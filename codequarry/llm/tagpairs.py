@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codequarry.llm.buckets import candidate_pairs, counted, expand_classes
+from codequarry.llm.buckets import candidate_pairs, counted, expand_classes, hot_apart, sized
 from codequarry.session import staged
 
 TREES, SHALLOWEST, WIDE = 26, 4, 40
@@ -107,16 +107,21 @@ def similar_sets(sets: DataFrame, threshold: float = 0.75) -> tuple[DataFrame, D
     classes = members.dropDuplicates(["cls"]).select("cls", "items")
     depth = deepest(threshold)
     sign, schema = _signatures(depth)
-    rows = counted(classes.mapInArrow(sign, schema), "key")
+    usual, hot = hot_apart(classes.mapInArrow(sign, schema), "key")
+    rows = counted(usual, "key")
     for d in range(SHALLOWEST, depth):
         # 16 bits of the next value deepen the prefix.
         value = F.shiftright("deeper", 16 * (d - SHALLOWEST)).bitwiseAND(F.lit(0xFFFF))
         rows = rows.withColumn("key", F.when(F.col("n") > WIDE, F.xxhash64("key", value, F.lit(d))).otherwise(F.col("key")))
         rows = counted(rows.drop("n"), "key")
-    bits = 64 * (1 - threshold) / 2
-    most = int(bits + SKETCH_SIGMAS * (64 * (1 + threshold) / 2 * (1 - threshold) / 2 / 1) ** 0.5)
-    close = lambda x, y: F.bit_count(x("sketch").bitwiseXOR(y("sketch"))) <= most
-    pairs = candidate_pairs(rows.select("key", "n", "cls", "sketch"), "key", "cls", "n", close)
+    columns = ["key", "n", "cls", "sketch"]
+    rows = rows.select(columns)
+    if hot is not None:
+        # Neighbourhoods too wide for one task are deepened at once as far as the target allows.
+        deep = sized(hot.drop("n").withColumn("key", F.xxhash64("key", "deeper")), "key")
+        rows = rows.unionByName(deep.select(columns))
+    bits, spread = 64 * (1 - threshold) / 2, (64 * (1 + threshold) / 2 * (1 - threshold) / 2) ** 0.5
+    pairs = candidate_pairs(rows, "key", "cls", "sketch", int(bits + SKETCH_SIGMAS * spread))
     verified = (
         pairs.join(classes.select(F.col("cls").alias("a"), F.col("items").alias("x")), "a")
         .join(classes.select(F.col("cls").alias("b"), F.col("items").alias("y")), "b")

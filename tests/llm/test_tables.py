@@ -105,17 +105,23 @@ def test_tag_pairs_against_brute_force(spark):
 
 
 def test_blocks_hold_every_pair(spark):
-    rows = spark.createDataFrame([(i, "k" if i < 40 else "l") for i in range(45)], "id long, key string")
-    pairs = buckets.candidate_pairs(buckets.counted(rows, "key"), "key", "id", "n", lambda x, y: F.lit(True), block=7)
+    rows = spark.createDataFrame([(i, 1 if i < 40 else 2 if i < 45 else i, 0 if i % 2 else 7) for i in range(48)], "id long, key long, sketch long")
     want = {(a, b) for a in range(45) for b in range(a + 1, 45) if (a < 40) == (b < 40)}
-    assert set(map(tuple, pairs.collect())) == want
+    for block in (7, 2_000):
+        counted = buckets.sized(rows, "key", block)
+        assert {r["id"]: r["n"] for r in counted.collect()} == {i: 40 if i < 40 else 5 for i in range(45)}
+        assert set(map(tuple, buckets.candidate_pairs(counted, "key", "id", "sketch", 64, block).collect())) == want
+        assert set(map(tuple, buckets.candidate_pairs(counted, "key", "id", "sketch", 2, block).collect())) == {(a, b) for a, b in want if (a - b) % 2 == 0}
 
 
 def _jaccard(a, b):
     return len(a & b) / len(a | b)
 
 
-def test_near_duplicates_against_brute_force(spark):
+@pytest.mark.parametrize("block", [2_000, 3])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "sized", lambda rows, key: buckets.sized(rows, key, block))
+    monkeypatch.setattr(neardup, "blocked", lambda rows, key, cls: buckets.blocked(rows, key, cls, "n", block))
     rng = random.Random(7)
     word = lambda: rng.choice("abcdefgh") + str(rng.randint(0, 300))
     base = [[word() for _ in range(rng.randint(20, 120))] for _ in range(40)]
