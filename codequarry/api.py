@@ -12,7 +12,7 @@ from codequarry.session import staged
 from codequarry.sources import tree
 from codequarry.store import VersionedTable
 
-TABLES = ("chunks", "chunk_tags", "chunks_vec", "files", "index_ledger", "postings", "exact_cache")
+TABLES = ("chunks", "chunk_tags", "chunks_vec", "files", "index_ledger", "postings", "words", "lengths", "exact_cache")
 
 
 class Engine:
@@ -103,6 +103,10 @@ class Engine:
         }
         # The ledger is moved last: a run that fails before is done again.
         for name, df in results.items():
+            if name == "index_ledger":
+                rows = self.table("postings")
+                self.tables["words"].write(rows.select("token").distinct())
+                self.tables["lengths"].write(search.document_lengths(rows))
             self.tables[name].write(df)
         return ledger.run_summary(changes)
 
@@ -119,12 +123,15 @@ class Engine:
         if mode == "semantic":
             found = search.within_scope(search.nearest(asked, self.table("chunks_vec"), limit, dim), chunks, scope).withColumn("score", F.col("similarity"))
         else:
-            found = search.hybrid(asked, chunks, self.table("chunks_vec"), self.table("postings"), limit, scope, dim, stem=True).withColumn("score", F.col("rrf"))
+            found = search.hybrid(asked, chunks, self.table("chunks_vec"), self.full_text_index(), limit, scope, dim, stem=True).withColumn("score", F.col("rrf"))
         from codequarry.functions.structure import snippet
 
         rows = search.hydrated(found, chunks, ["file_path", "symbol_name", "start_line", "end_line", "content"])
         return rows.select("rank", "chunk_id", "file_path", "symbol_name", "start_line", "end_line", "score", snippet(F.col("content")).alias("snippet")).orderBy("rank")
 
+    def full_text_index(self) -> search.Index:
+        return search.opened_index(self.table("postings"), self.table("words"), self.table("lengths"), self.table("chunks"))
+
     def lookup_file(self, path: str, limit: int = 100) -> DataFrame:
         asked = self.spark.createDataFrame([(path,)], "file_path string")
         return search.lookup_files(asked, self.table("chunks"), limit).orderBy("place")

@@ -7,6 +7,7 @@ table of one row. Ranks are cut per query before wide columns are fetched.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from codequarry.functions.fulltext import query_terms, stemmed, tokens
 from codequarry.functions.vectors import cosine_of_distance, rrf_term
+from codequarry.session import staged
 
 # Constant of reciprocal rank fusion, rows of each channel, BM25 parameters.
 RRF_K, CHANNEL, K1, B = 60, 20, 1.2, 0.75
@@ -87,6 +89,28 @@ def document_lengths(index: DataFrame) -> DataFrame:
     return index.groupBy("chunk_id").agg(F.count("*").alias("n_tokens"))
 
 
+class Index(NamedTuple):
+    """A full-text index: postings, the distinct tokens, the lengths of the chunks, and the totals of the corpus."""
+
+    postings: DataFrame
+    words: DataFrame
+    lengths: DataFrame
+    n_docs: int
+    n_tokens: int
+
+
+def opened_index(rows: DataFrame, words: DataFrame, lengths: DataFrame, chunks: DataFrame) -> Index:
+    """An index from its stored tables. The totals cover all chunks, those without tokens too."""
+    total = lengths.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).head()["n"]
+    return Index(rows, words, lengths, chunks.select("chunk_id").distinct().count(), total)
+
+
+def built_index(chunks: DataFrame, stem: bool = False) -> Index:
+    """The index of chunks, with its tables staged."""
+    rows = staged(postings(chunks, stem=stem), "postings")
+    return opened_index(rows, staged(rows.select("token").distinct(), "words"), staged(document_lengths(rows), "lengths"), chunks)
+
+
 def _query_parts(queries: DataFrame, query_col: str, text_col: str, stem: bool) -> DataFrame:
     """``query_id, phrase, part, parts, token, is_prefix``: each word of a query is a phrase of the tokens between its underscores; the last one is a prefix."""
     words = queries.select(F.col(query_col).alias("query_id"), F.posexplode(query_terms(F.col(text_col))).alias("phrase", "t"))
@@ -96,14 +120,14 @@ def _query_parts(queries: DataFrame, query_col: str, text_col: str, stem: bool)
     return stemmed(rows) if stem else rows
 
 
-def phrase_hits(queries: DataFrame, index: DataFrame, query_col: str = "query_id", text_col: str = "query", stem: bool = False) -> DataFrame:
+def phrase_hits(queries: DataFrame, index: Index, query_col: str = "query_id", text_col: str = "query", stem: bool = False) -> DataFrame:
     """``query_id, phrase, chunk_id, tf``: how often each phrase of each query occurs in each chunk.
 
     Prefixes meet the vocabulary (not the index) on their first two letters, then
     tokens join the index by equality.
     """
     parts = _query_parts(queries, query_col, text_col, stem)
-    words = index.select("token").distinct()
+    words = index.words
     head = lambda c: F.substring(c, 1, 2)
     open_ended = parts.filter("is_prefix").select("query_id", "phrase", "part", "parts", F.col("token").alias("prefix"))
     expanded = open_ended.join(words, (head("prefix") == head("token")) & F.col("token").startswith(F.col("prefix"))).drop("prefix")
@@ -111,24 +135,19 @@ def phrase_hits(queries: DataFrame, index: DataFrame, query_col: str = "query_id
     single = open_ended.filter(F.length("prefix") == 1).join(words, (F.substring("prefix", 1, 1) == F.substring("token", 1, 1)) & (F.length("token") > 1)).drop("prefix")
     exact = parts.filter("not is_prefix").select("query_id", "phrase", "part", "parts", "token")
     wanted = expanded.unionByName(single).unionByName(exact).distinct()
-    at = wanted.join(index, "token").withColumn("start", F.col("pos") - F.col("part"))
+    at = wanted.join(index.postings, "token").withColumn("start", F.col("pos") - F.col("part"))
     whole = at.groupBy("query_id", "phrase", "parts", "chunk_id", "col", "start").agg(F.countDistinct("part").alias("n")).filter("n = parts")
     return whole.groupBy("query_id", "phrase", "chunk_id").agg(F.count("*").alias("tf"))
 
 
-def full_text(queries: DataFrame, index: DataFrame, chunks: DataFrame, k: int = CHANNEL, scope: str | None = None, stem: bool = False, query_col: str = "query_id", text_col: str = "query") -> DataFrame:
-    """``query_id, chunk_id, score, rank``: the ``k`` best chunks of each query by BM25 over all columns; the scope counts before the cut, ties go to the smaller id.
-
-    The corpus statistics cover all chunks, those without tokens too.
-    """
+def full_text(queries: DataFrame, index: Index, chunks: DataFrame, k: int = CHANNEL, scope: str | None = None, stem: bool = False, query_col: str = "query_id", text_col: str = "query") -> DataFrame:
+    """``query_id, chunk_id, score, rank``: the ``k`` best chunks of each query by BM25 over all columns; the scope counts before the cut, ties go to the smaller id."""
     hits = phrase_hits(queries, index, query_col, text_col, stem)
-    lengths = document_lengths(index)
-    total = chunks.agg(F.countDistinct("chunk_id").alias("n_docs")).crossJoin(index.agg(F.count("*").alias("n_all")))
     spread = hits.groupBy("query_id", "phrase").agg(F.count("*").alias("df"))
-    idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    rated = hits.join(spread, ["query_id", "phrase"]).join(lengths, "chunk_id").crossJoin(F.broadcast(total))
+    idf = F.log((F.lit(float(index.n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    rated = hits.join(spread, ["query_id", "phrase"]).join(index.lengths, "chunk_id")
     weight = F.when(idf > 0, idf).otherwise(F.lit(1e-6))
-    length = F.col("n_tokens") / (F.col("n_all") / F.col("n_docs"))
+    length = F.col("n_tokens") / F.lit(index.n_tokens / max(1, index.n_docs))
     part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * length))
     scored = rated.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
     scored = within_scope(scored, chunks, scope)
@@ -147,7 +166,7 @@ def fused(vector_hits: DataFrame, text_hits: DataFrame, limit: int = 10) -> Data
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 
 
-def hybrid(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, index: DataFrame, limit: int = 10, scope: str | None = None, dim: int = 64, stem: bool = False) -> DataFrame:
+def hybrid(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, index: Index, limit: int = 10, scope: str | None = None, dim: int = 64, stem: bool = False) -> DataFrame:
     """Both channels of ``query_id, query, embedding`` and their fusion; the vector channel is filtered by scope after its cut, the text channel before."""
     near = within_scope(nearest(queries, vectors, CHANNEL, dim), chunks, scope)
     text = full_text(queries, index, chunks, CHANNEL, scope, stem)

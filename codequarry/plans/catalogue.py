@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from codequarry.functions import chunkers, embedding, fulltext, hashing, identifiers, sqltext, structure, vectors
 from codequarry.operators import caching, ledger, search
 from codequarry.plans.oracles import ORACLES
-from codequarry.session import read_table, staged
+from codequarry.session import read_table
 from codequarry.sources import tree
 from codequarry.streaming import upkeep
 
@@ -74,28 +74,27 @@ def knn_scope_before(spark: SparkSession, d: str) -> DataFrame:
 @query
 def bm25_search(spark: SparkSession, d: str) -> DataFrame:
     chunks = _chunks(spark, d)
-    found = search.full_text(_query_texts(spark, d), staged(search.postings(chunks), "postings"), chunks)
+    found = search.full_text(_query_texts(spark, d), search.built_index(chunks), chunks)
     return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query
 def bm25_scope(spark: SparkSession, d: str) -> DataFrame:
     chunks = _chunks(spark, d)
-    found = search.full_text(_query_texts(spark, d), staged(search.postings(chunks), "postings"), chunks, scope="frontend")
+    found = search.full_text(_query_texts(spark, d), search.built_index(chunks), chunks, scope="frontend")
     return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
 @query
 def bm25_stemmed(spark: SparkSession, d: str) -> DataFrame:
     chunks = _chunks(spark, d)
-    index = staged(search.postings(chunks, stem=True), "postings")
-    return search.full_text(_query_texts(spark, d), index, chunks, stem=True)
+    return search.full_text(_query_texts(spark, d), search.built_index(chunks, stem=True), chunks, stem=True)
 
 
 def hybrid_ranked(spark: SparkSession, d: str) -> DataFrame:
     chunks = _chunks(spark, d)
     asked = _query_texts(spark, d).join(_query_vectors(spark, d).dropDuplicates(["query_id"]), "query_id", "left")
-    return search.hybrid(asked, chunks, _vectors(spark, d), staged(search.postings(chunks), "postings"))
+    return search.hybrid(asked, chunks, _vectors(spark, d), search.built_index(chunks))
 
 
 @query

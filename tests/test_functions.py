@@ -109,7 +109,7 @@ def test_bm25_agrees_with_full_text_search_of_sqlite(spark):
     for query, match in (("receipt parser", "receipt* OR parser*"), ("receipt_up", "receipt_up*"), ("universal", "universal*")):
         want = {r: -s for r, s in con.execute("SELECT rowid, bm25(t) FROM t WHERE t MATCH ?", (match.replace("receipt_up*", '"receipt up" *'),))}
         asked = spark.createDataFrame([(1, query)], "query_id long, query string")
-        got = search.full_text(asked, search.postings(chunks, stem=True), chunks, stem=True).collect()
+        got = search.full_text(asked, search.built_index(chunks, stem=True), chunks, stem=True).collect()
         assert {r["chunk_id"]: pytest.approx(r["score"], abs=1e-6) for r in got} == want
 
 
