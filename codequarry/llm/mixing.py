@@ -27,7 +27,7 @@ def _name(col: str) -> Column:
     return F.lower(F.regexp_replace(F.col(col), r"(?U)^\s+|\s+$", ""))
 
 
-def plan_mixture(docs: DataFrame, targets: DataFrame, block_tokens: int = 1024, id_col: str = "doc_id", seed: int = 17, **tokenizer: str) -> DataFrame:
+def plan_mixture(docs: DataFrame, targets: DataFrame, block_tokens: int = 256, id_col: str = "doc_id", seed: int = 17, **tokenizer: str) -> DataFrame:
     """``slot, source, block, doc_id, repeat, tokens``: the mixture, document by document, in order of ``slot``.
 
     ``docs`` has ``id_col, text, source``; ``targets`` has ``source, target_share,
