@@ -20,6 +20,8 @@ from codequarry.session import staged
 
 # Constant of reciprocal rank fusion, rows of each channel, BM25 parameters.
 RRF_K, CHANNEL, K1, B = 60, 20, 1.2, 0.75
+#: Words of queries, and tokens they stand for, are sent to all tasks up to this number; more of them are joined by a shuffle.
+MOST_SENT = 100_000
 #: Rows of a block of vectors; a pair of blocks is compared in one matrix product.
 BLOCK = 4_096
 
@@ -71,6 +73,12 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = CHANNEL, dim: int =
     return ranked.select("query_id", "chunk_id", "distance", cosine_of_distance(F.col("distance")).alias("similarity"), "rank")
 
 
+def _sent(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` staged, and marked to be sent to all tasks if a count shows that they are few."""
+    kept = staged(rows, name)
+    return F.broadcast(kept) if kept.count() <= MOST_SENT else kept
+
+
 def within_scope(found: DataFrame, chunks: DataFrame, scope: str | None) -> DataFrame:
     """Search results of one scope, as the rank stands: filtered after the cut. A null scope never matches; no scope asked for keeps all."""
     return found if scope is None else found.join(chunks.filter(F.col("scope") == scope).select("chunk_id"), "chunk_id", "left_semi")
@@ -126,23 +134,23 @@ def phrase_hits(queries: DataFrame, index: Index, query_col: str = "query_id", t
     Prefixes meet the vocabulary (not the index) on their first two letters, then
     tokens join the index by equality.
     """
-    parts = _query_parts(queries, query_col, text_col, stem)
+    parts = _sent(_query_parts(queries, query_col, text_col, stem), "query_parts")
     words = index.words
     head = lambda c: F.substring(c, 1, 2)
     open_ended = parts.filter("is_prefix").select("query_id", "phrase", "part", "parts", F.col("token").alias("prefix"))
-    expanded = open_ended.join(words, (head("prefix") == head("token")) & F.col("token").startswith(F.col("prefix"))).drop("prefix")
+    expanded = words.join(open_ended, (head("prefix") == head("token")) & F.col("token").startswith(F.col("prefix"))).drop("prefix")
     # A prefix of one letter has no second one to meet on.
-    single = open_ended.filter(F.length("prefix") == 1).join(words, (F.substring("prefix", 1, 1) == F.substring("token", 1, 1)) & (F.length("token") > 1)).drop("prefix")
+    single = words.join(open_ended.filter(F.length("prefix") == 1), (F.substring("prefix", 1, 1) == F.substring("token", 1, 1)) & (F.length("token") > 1)).drop("prefix")
     exact = parts.filter("not is_prefix").select("query_id", "phrase", "part", "parts", "token")
-    wanted = expanded.unionByName(single).unionByName(exact).distinct()
-    at = wanted.join(index.postings, "token").withColumn("start", F.col("pos") - F.col("part"))
+    wanted = _sent(expanded.unionByName(single).unionByName(exact).distinct(), "query_tokens")
+    at = index.postings.join(wanted, "token").withColumn("start", F.col("pos") - F.col("part"))
     whole = at.groupBy("query_id", "phrase", "parts", "chunk_id", "col", "start").agg(F.countDistinct("part").alias("n")).filter("n = parts")
     return whole.groupBy("query_id", "phrase", "chunk_id").agg(F.count("*").alias("tf"))
 
 
 def full_text(queries: DataFrame, index: Index, chunks: DataFrame, k: int = CHANNEL, scope: str | None = None, stem: bool = False, query_col: str = "query_id", text_col: str = "query") -> DataFrame:
     """``query_id, chunk_id, score, rank``: the ``k`` best chunks of each query by BM25 over all columns; the scope counts before the cut, ties go to the smaller id."""
-    hits = phrase_hits(queries, index, query_col, text_col, stem)
+    hits = staged(phrase_hits(queries, index, query_col, text_col, stem), "phrase_hits")
     spread = hits.groupBy("query_id", "phrase").agg(F.count("*").alias("df"))
     idf = F.log((F.lit(float(index.n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     rated = hits.join(spread, ["query_id", "phrase"]).join(index.lengths, "chunk_id")
