@@ -30,6 +30,8 @@ PROJECTIONS, COLLISIONS = 24, 19
 WIDEST = 1.85
 #: Steps of virtual rehashing: the share of the widest window that each round uses.
 ROUNDS = (0.5, 1.0)
+#: Pairs whose cosine is computed at once, and found pairs of two blocks that are kept before they are cut to the best.
+PAIRS, HELD = 1 << 17, 1 << 20
 
 
 def usable_vectors(vectors: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
@@ -83,6 +85,17 @@ def _collide(left: np.ndarray, right: np.ndarray, width: float) -> np.ndarray:
     return count
 
 
+def _best(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best ``k`` of each left row; a pair found in two rounds stands once."""
+    a, b, sim = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, int),) * 2 + (np.empty(0),)
+    pair = np.unique(a * len(keys) + b, return_index=True)[1]
+    a, b, sim = a[pair], b[pair], sim[pair]
+    order = np.lexsort((keys[b], -sim, a))
+    a, b, sim = a[order], b[order], sim[order]
+    top = np.arange(len(a)) - np.searchsorted(a, a, "left") < k
+    return a[top], b[top], sim[top]
+
+
 def _compare(k: int, least: float, dim: int):
     """Per cell and pair of blocks: each vector's ``k`` most similar ones among those found there."""
     rng = np.random.default_rng(5)
@@ -101,9 +114,13 @@ def _compare(k: int, least: float, dim: int):
         # Sorted by the first projection, a slice of queries needs the rows inside its own windows only.
         mine, others = mine[np.argsort(hashed[mine, 0], kind="stable")], others[np.argsort(hashed[others, 0], kind="stable")]
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        mirrored: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        # The rows of another block do not ask here, so a query that has its own k may not stop for them.
+        rounds = ROUNDS if same else ROUNDS[-1:]
         for s in range(0, len(mine), 256):
             todo = mine[s : s + 256]
-            for part in ROUNDS:
+            own: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for part in rounds:
                 width = int(WIDEST * 64 * part)
                 # The window on the first projection is wider: a pair may miss a few of the others, not this one.
                 reach = 64 * 4
@@ -112,27 +129,23 @@ def _compare(k: int, least: float, dim: int):
                 pool = others[lo:hi]
                 q, c = np.nonzero(_collide(hashed[todo], hashed[pool], width) >= COLLISIONS)
                 a, b = todo[q], pool[c]
-                sim = np.einsum("ij,ij->i", unit[a], unit[b])
+                sim = np.concatenate([np.einsum("ij,ij->i", unit[a[i : i + PAIRS]], unit[b[i : i + PAIRS]]) for i in range(0, max(len(a), 1), PAIRS)])
                 ok = (sim >= least) & (a != b)
                 a, b, sim = a[ok], b[ok], sim[ok]
-                found.append((a, b, sim))
+                own.append((a, b, sim))
+                if not same:
+                    mirrored.append((b, a, sim))
                 # Done are the queries with k vectors at least as near as this round's windows are wide.
                 near = sim >= 1 - (1 - least) * part * part
                 done = np.bincount(a[near], minlength=len(keys))[todo] >= k
                 todo = todo[~done]
                 if not len(todo):
                     break
-        a, b, sim = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, int),) * 2 + (np.empty(0),)
-        if not same:
-            a, b, sim = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([sim, sim])
-        # The best k of each vector; a pair found in two rounds stands once.
-        pair = np.unique(np.stack([a, b]), axis=1, return_index=True)[1] if len(a) else np.empty(0, int)
-        a, b, sim = a[pair], b[pair], sim[pair]
-        order = np.lexsort((keys[b], -sim, a))
-        a, b, sim = a[order], b[order], sim[order]
-        first = np.searchsorted(a, a, "left")
-        top = np.arange(len(a)) - first < k
-        yield pa.RecordBatch.from_arrays([pa.array(keys[a[top]]), pa.array(keys[b[top]]), pa.array(sim[top], pa.float64())], ["vkey", "other", "similarity"])
+            found.append(_best(own, keys, k))
+            if sum(len(x[0]) for x in mirrored) > HELD:
+                mirrored = [_best(mirrored, keys, k)]
+        a, b, sim = _best(found + mirrored, keys, k)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[a]), pa.array(keys[b]), pa.array(sim, pa.float64())], ["vkey", "other", "similarity"])
 
     return compare
 

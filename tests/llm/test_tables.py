@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,6 +189,26 @@ def test_vectors_against_brute_force(spark, monkeypatch, block):
     assert recall >= 0.9 and len(extra) <= 0.05 * len(found) and max(r["rank"] for r in got) <= 5
 
 
+def test_rows_of_another_block_keep_their_neighbours():
+    rng = np.random.default_rng(4)
+    centre = rng.standard_normal(64)
+    centre /= np.linalg.norm(centre)
+    off = rng.standard_normal((30, 64))
+    off -= (off @ centre)[:, None] * centre
+    # Both blocks hold rows close to one centre, the second one also rows that are less similar to it.
+    loose = 0.9 * centre + np.sqrt(1 - 0.81) * off / np.linalg.norm(off, axis=1, keepdims=True)
+    near = centre + rng.standard_normal((40, 64)) * 0.008
+    x = np.concatenate([near, loose]).astype(np.float32)
+    block = np.array([0] * 20 + [1] * 50, np.int32)
+    table = pa.table({"vkey": np.arange(70), "block": block, "bi": np.zeros(70, np.int32), "bj": np.ones(70, np.int32), "v": pa.array([r.tobytes() for r in x], pa.binary())})
+    got = {}
+    for r in vectors._whole(vectors._compare(5, 0.85, 64))(table).to_pylist():
+        got.setdefault(r["vkey"], set()).add(r["other"])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for b in range(20, 70):
+        assert got[b] == set(np.argsort(-(unit[:20] @ unit[b]), kind="stable")[:5])
+
+
 def test_equal_vectors(spark):
     rows = [(i, [1.0, 0.5] * 8) for i in range(12)] + [(50, [1.0, 0.49] * 8)]
     df = spark.createDataFrame(rows, "chunk_id long, embedding array<float>")
