@@ -24,6 +24,8 @@ RRF_K, CHANNEL, K1, B = 60, 20, 1.2, 0.75
 MOST_SENT = 100_000
 #: Rows of a block of vectors; a pair of blocks is compared in one matrix product.
 BLOCK = 4_096
+#: Queries of a block whose distances are held at once, and pairs whose distance is computed again at once.
+QUERIES, PAIRS = 256, 1 << 16
 
 
 def _packed(vectors: DataFrame, id_col: str, vec_col: str, dim: int, names: tuple[str, str]) -> DataFrame:
@@ -48,22 +50,34 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = CHANNEL, dim: int =
     """``query_id, chunk_id, distance, similarity, rank``: exact search, the ``k`` vectors nearest to each query by Euclidean distance; ties by id.
 
     Both sides are packed into blocks, and every block of queries meets every block
-    of vectors once; a pair of blocks returns only the best ``k`` of each query.
+    of vectors once; a pair of blocks returns only the best ``k`` of each query, cut after all rows
+    that tie with the last of them are ordered by id.
     """
 
+    def candidates(q: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of rows, with distances, that hold the nearest ``k`` of each query and all that tie with the last of them."""
+        size = (q * q).sum(1)[:, None] + (v * v).sum(1)[None]
+        square = size - 2 * q @ v.T
+        # The product rounds by less than this, so no row that may be among the nearest is left out.
+        size *= 4 * (dim + 8) * np.finfo(float).eps
+        m = min(k, len(v)) - 1
+        cut = np.partition(square + size, m, axis=1)[:, m, None]
+        at, near = np.nonzero(~(square - size > cut))
+        # Their distances are computed again, part by part.
+        parts = [np.sqrt(((q[at[i : i + PAIRS]] - v[near[i : i + PAIRS]]) ** 2).sum(1)) for i in range(0, len(at), PAIRS)]
+        return at, near, np.concatenate(parts)
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for qi, qv, vi, vv in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 qid, vid = np.frombuffer(qi, np.int64), np.frombuffer(vi, np.int64)
                 q, v = np.frombuffer(qv).reshape(-1, dim), np.frombuffer(vv).reshape(-1, dim)
-                square = np.maximum((q * q).sum(1)[:, None] + (v * v).sum(1)[None] - 2 * q @ v.T, 0)
-                m = min(k + 8, len(vid))
-                near = np.argpartition(square, m - 1, axis=1)[:, :m]
-                # The product rounds; the candidates' distances are computed again, part by part.
-                exact = np.sqrt(((q[:, None, :] - v[near]) ** 2).sum(2))
-                order = np.lexsort((vid[near], exact), axis=1)[:, :k]
-                ids, dist = np.take_along_axis(vid[near], order, 1), np.take_along_axis(exact, order, 1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, ids.shape[1])), pa.array(ids.ravel()), pa.array(dist.ravel())], ["query_id", "chunk_id", "distance"])
+                for s in range(0, len(qid), QUERIES):
+                    at, near, dist = candidates(q[s : s + QUERIES], v)
+                    order = np.lexsort((vid[near], dist, at))
+                    at, near, dist = at[order], near[order], dist[order]
+                    top = np.arange(len(at)) - np.searchsorted(at, at, "left") < k
+                    yield pa.RecordBatch.from_arrays([pa.array(qid[s + at[top]]), pa.array(vid[near[top]]), pa.array(dist[top])], ["query_id", "chunk_id", "distance"])
 
     left = _packed(queries, query_col, vec_col, dim, ("qi", "qv"))
     right = _packed(vectors, id_col, vec_col, dim, ("vi", "vv"))

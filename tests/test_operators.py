@@ -28,6 +28,20 @@ def test_nearest_against_brute_force(spark):
         assert [got[q][i + 1] for i in range(7)] == list(want)
 
 
+def test_nearest_of_many_equal_vectors(spark):
+    rng = np.random.default_rng(3)
+    ids = [int(i) for i in rng.permutation(300)]
+    # Two thirds hold one vector, a few are nearer to one of the queries.
+    rows = [(i, [0.6, 0.8, 0.1, 0.3] if n % 3 else [float(x) for x in rng.standard_normal(4)]) for n, i in enumerate(ids)]
+    x = {i: np.array(v) for i, v in rows}
+    vecs = spark.createDataFrame(rows, "chunk_id long, embedding array<double>").coalesce(1)
+    asked = spark.createDataFrame([(0, [0.6, 0.8, 0.1, 0.3]), (1, [0.5, 0.7, 0.2, 0.2])], "query_id long, embedding array<double>")
+    found = search.nearest(asked, vecs, 20, 4).collect()
+    for q, v in ((0, [0.6, 0.8, 0.1, 0.3]), (1, [0.5, 0.7, 0.2, 0.2])):
+        want = sorted(x, key=lambda i: (np.sqrt(((np.array(v) - x[i]) ** 2).sum()), i))[:20]
+        assert [r["chunk_id"] for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == q] == want
+
+
 def test_nearest_of_nothing(spark):
     empty = spark.createDataFrame([], "chunk_id long, embedding array<float>")
     assert search.nearest(empty.withColumnRenamed("chunk_id", "query_id"), empty).count() == 0
