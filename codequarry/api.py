@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codequarry.config import Settings
-from codequarry.functions import chunkers, embedding, hashing, identifiers, sqltext
+from codequarry.functions import chunkers, embedding, hashing, identifiers, sqltext, structure
+from codequarry.functions.vectors import l2_norm
 from codequarry.operators import caching, ledger, search
 from codequarry.session import staged
 from codequarry.sources import tree
 from codequarry.store import VersionedTable
 
-TABLES = ("chunks", "chunk_tags", "chunks_vec", "files", "index_ledger", "postings", "words", "lengths", "exact_cache")
+TABLES = ("chunks", "chunk_tags", "chunks_vec", "files", "index_ledger", "postings", "words", "lengths", "exact_cache", "semantic_cache")
 
 
 class Engine:
@@ -31,17 +34,26 @@ class Engine:
     def _parsed(self, files: DataFrame) -> DataFrame:
         text = files.withColumn("content", F.decode("content", "UTF-8"))
         columns = ["file_path", "language", "chunk_type", "symbol_name", "receiver_type", "signature", "package_name", "start_line", "end_line", "content", "doc_comment", "imports"]
-        code = chunkers.chunked(text.filter("language <> 'sql'")).filter("error is null").select(columns)
+        code = chunkers.chunked(text.filter("language <> 'sql'")).filter("error is null").select(*columns, F.array().cast("array<string>").alias("sql_tags"))
         sql = sqltext.sql_chunks(text.filter("language = 'sql'")).join(text.select("file_path", F.col("content").alias("source")), "file_path")
         before = F.call_function("substring_index", F.col("source"), F.col("content"), F.lit(1))
         first = F.size(F.split(before, "\n", -1))
         sql = sql.withColumn("start_line", first).withColumn("end_line", first + F.size(F.split("content", "\n", -1)) - 1)
-        sql = sql.select("file_path", F.lit("sql").alias("language"), "chunk_type", "symbol_name", F.col("receiver").alias("receiver_type"), "signature", "package_name", "start_line", "end_line", "content", F.lit(None).cast("string").alias("doc_comment"), "imports")
-        return code.unionByName(sql)
+        doc = F.coalesce(structure.comment_above(F.col("source"), F.col("start_line"), "--"), sqltext.leading_comment(F.col("content")))
+        tags = F.concat(F.array(F.concat(F.lit("dialect:"), "dialect")), "features")
+        sql = sql.select("file_path", F.lit("sql").alias("language"), "chunk_type", "symbol_name", F.col("receiver").alias("receiver_type"), "signature", "package_name", "start_line", "end_line", "content", doc.alias("doc_comment"), "imports", tags.alias("sql_tags"))
+        return self._cut(code.unionByName(sql))
+
+    def _cut(self, chunks: DataFrame) -> DataFrame:
+        """Chunks of too many lines in parts, all with the other columns of their chunk; a chunk without a symbol gets none."""
+        own = ["symbol_name", "start_line", "end_line", "content"]
+        rest = F.struct(*(c for c in chunks.columns if c not in own), F.col("symbol_name").isNotNull().alias("named"))
+        parts = structure.split_long_chunks(chunks.withColumn("chunk_id", rest))
+        return parts.select("chunk_id.*", *own).withColumn("symbol_name", F.when(F.col("named"), F.col("symbol_name"))).select(chunks.columns)
 
     def _tagged(self, chunks: DataFrame) -> DataFrame:
         path, s = F.col("file_path"), self.settings
-        tags = identifiers.merged_tags(identifiers.base_tags(path, F.col("chunk_type")), identifiers.resource_tags(path, F.col("symbol_name")), identifiers.rule_tags(path, F.col("content"), list(s.tag_rules)))
+        tags = identifiers.merged_tags(identifiers.base_tags(path, F.col("chunk_type")), F.col("sql_tags"), identifiers.resource_tags(path, F.col("symbol_name"), stopwords=s.stopwords), identifiers.rule_tags(path, F.col("content"), list(s.tag_rules)))
         rows = chunks.select("chunk_id", F.explode(tags).alias("tag")).filter("tag is not null")
         return rows.withColumn("weight", identifiers.tag_weight(F.col("tag"), s.resource_weight))
 
@@ -92,7 +104,7 @@ class Engine:
             kept = ledger.without_files(old[name], gone) if by_file else ledger.without_chunks(old[name], staged(ledger.without_files(old["chunks"], gone).select("chunk_id"), "kept_ids"))
             return kept.unionByName(new.select(kept.columns))
 
-        columns = [c for c in chunks.columns if c not in ("key", "sig")]
+        columns = [c for c in chunks.columns if c not in ("key", "sig", "sql_tags")]
         results = {
             "chunks": merged("chunks", chunks.select(columns)),
             "chunk_tags": merged("chunk_tags", self._tagged(chunks), False),
@@ -124,10 +136,8 @@ class Engine:
             found = search.within_scope(search.nearest(asked, self.table("chunks_vec"), limit, dim), chunks, scope).withColumn("score", F.col("similarity"))
         else:
             found = search.hybrid(asked, chunks, self.table("chunks_vec"), self.full_text_index(), limit, scope, dim, stem=True).withColumn("score", F.col("rrf"))
-        from codequarry.functions.structure import snippet
-
         rows = search.hydrated(found, chunks, ["file_path", "symbol_name", "start_line", "end_line", "content"])
-        return rows.select("rank", "chunk_id", "file_path", "symbol_name", "start_line", "end_line", "score", snippet(F.col("content")).alias("snippet")).orderBy("rank")
+        return rows.select("rank", "chunk_id", "file_path", "symbol_name", "start_line", "end_line", "score", structure.snippet(F.col("content")).alias("snippet")).orderBy("rank")
 
     def full_text_index(self) -> search.Index:
         return search.opened_index(self.table("postings"), self.table("words"), self.table("lengths"), self.table("chunks"))
@@ -153,7 +163,7 @@ class Engine:
         return search.index_totals(self.table("chunks"), self.table("files"))
 
     def cached_search(self, query: str, version: str, now: str, limit: int = 10, scope: str | None = None, mode: str = "hybrid") -> list[dict]:
-        """``search_code`` through the exact cache: a live entry of the same version answers without a search."""
+        """``search_code`` through the caches: a live entry of the same version answers without a search, one of the same query first, else one of a similar query."""
         at = F.to_timestamp_ntz(F.lit(now))
         one = self.spark.createDataFrame([(0, query, mode, scope, limit, version)], "lookup_id long, q string, m string, s string, l int, version_sha string")
         asked = one.withColumn("query_hash", hashing.query_key(F.col("m"), F.col("q"), F.col("s"), F.col("l")))
@@ -162,16 +172,40 @@ class Engine:
             hits = staged(caching.exact_hits(asked, cache, at), "hits")
             if row := hits.head():
                 self.tables["exact_cache"].write(caching.counted_hits(cache, hits))
-                import json
-
                 return json.loads(row["result_json"])
-        rows = [r.asDict() for r in self.search_code(query, version, now, limit, scope, mode).collect()]
-        import json
-
-        made = asked.select("query_hash", F.col("q").alias("query_text"), F.lit(json.dumps(rows)).alias("result_json"), "version_sha")
+        similar = staged(embedding.embedded(one, F.col("q"), self.embedder, "lookup_id").join(one, "lookup_id").select("lookup_id", "embedding", F.col("q").alias("query_text"), "version_sha", F.col("s").alias("scope"), F.col("m").alias("mode"), F.col("l").alias("limit_n")), "asked")
+        result = self._similar_result(similar, at)
+        if result is None:
+            rows = [r.asDict() for r in self.search_code(query, version, now, limit, scope, mode).collect()]
+            result = json.dumps(rows)
+            self._put_similar(similar, result, at)
+        made = asked.select("query_hash", F.col("q").alias("query_text"), F.lit(result).alias("result_json"), "version_sha")
         entries = caching.exact_entries(made, at, self.settings.cache_ttl_hours)
         self.tables["exact_cache"].write(entries if cache is None else caching.exact_put(cache, entries))
-        return rows
+        return json.loads(result)
+
+    def _similar_result(self, asked: DataFrame, at: Column) -> str | None:
+        """The result of the most similar query in the semantic cache, which counts the hit."""
+        cache = self.tables["semantic_cache"].read_or_none()
+        if cache is None:
+            return None
+        # Vectors of another embedder's length, and zero ones, resemble nothing.
+        size = len(asked.head()["embedding"])
+        usable = asked.filter(l2_norm(F.col("embedding")) > 0)
+        hit = caching.semantic_hits(usable, cache.filter(F.size("embedding") == size), at, self.settings.semantic_threshold).head()
+        if hit is None:
+            return None
+        found = F.col("entry_id") == hit["entry_id"]
+        self.tables["semantic_cache"].write(cache.withColumn("hit_count", F.col("hit_count") + F.when(found, 1).otherwise(0)))
+        return cache.filter(found).head()["result_json"]
+
+    def _put_similar(self, asked: DataFrame, result: str, at: Column) -> None:
+        """Adds a result to the semantic cache, which is then cut to the entries of the settings."""
+        cache = self.tables["semantic_cache"].read_or_none()
+        last = 0 if cache is None else cache.agg(F.max("entry_id")).head()[0] or 0
+        expires = at + F.make_interval(hours=F.lit(self.settings.cache_ttl_hours))
+        new = asked.filter(l2_norm(F.col("embedding")) > 0).select(F.lit(last + 1).cast("long").alias("entry_id"), "embedding", "query_text", F.lit(result).alias("result_json"), "version_sha", "scope", "mode", "limit_n", F.lit(0).cast("long").alias("hit_count"), at.alias("created_at"), expires.alias("expires_at"))
+        self.tables["semantic_cache"].write(caching.evicted(new if cache is None else cache.unionByName(new), self.settings.semantic_entries))
 
 
 def rendered(rows: list[dict], mode: str) -> str:

@@ -58,6 +58,13 @@ def bare_statement(statement: Column) -> Column:
     return F.regexp_replace(statement, r"^(?:\s+|--[^\n]*(?:\n|$)|/\*(?:[^*]|\*(?!/))*\*/)+", "")
 
 
+def leading_comment(statement: Column) -> Column:
+    """The ``--`` lines that a statement begins with, without the mark; null if there are none."""
+    run = F.regexp_extract(statement, r"\A\s*((?:[ \t]*--[^\n]*(?:\n|\z))+)", 1)
+    lines = F.transform(F.split(F.regexp_replace(run, r"\n\z", ""), "\n", -1), lambda x: F.trim(F.regexp_replace(x, r"^\s*--|\s+$", "")))
+    return F.when(run != "", F.array_join(lines, "\n"))
+
+
 def plain_name(name: Column) -> Column:
     return F.regexp_replace(name, r"[\"`\[\]]|(?<=\.)\s+|\s+(?=\.)", "")
 

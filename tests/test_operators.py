@@ -183,3 +183,27 @@ def test_engine(spark, tmp_path, project):
     again.index(str(project), "2025-01-02 00:00:00")
     columns = ["chunk_id", "file_path", "symbol_name", "start_line", "content"]
     assert sorted(map(tuple, again.table("chunks").select(columns).collect())) == sorted(map(tuple, engine.table("chunks").select(columns).collect()))
+
+
+def test_engine_cuts_long_chunks_and_keeps_what_sql_says(spark, tmp_path):
+    root = tmp_path / "src"
+    root.mkdir()
+    (root / "long.py").write_text("def upload_receipt(a):\n" + "".join(f"    a += {i}\n" for i in range(600)) + "    return a\n")
+    (root / "db.sql").write_text("-- Receipts of all shops.\nCREATE TABLE receipts (id UUID, body JSONB);\n")
+    vague = lambda texts: np.array([[1.0, 0.1 * (t == "receipts"), 0.0] if len(t) < 20 else [0.0, 0.0, 1.0] for t in texts])
+    engine = Engine(spark, str(tmp_path / "index"), Settings(languages=("python", "sql"), dimension=3, semantic_entries=1, stopwords=("receipts",)), vague)
+    engine.index(str(root), "2025-01-01 00:00:00")
+    chunks = {r["symbol_name"]: r for r in engine.table("chunks").collect()}
+    assert set(chunks) == {"upload_receipt#part1", "upload_receipt#part2", "receipts"}
+    first, second = chunks["upload_receipt#part1"], chunks["upload_receipt#part2"]
+    assert (first["start_line"], first["end_line"], second["start_line"]) == (1, 512, 513) and len(first["content"].split("\n")) == 512
+    assert chunks["receipts"]["doc_comment"] == "Receipts of all shops."
+    tags = {r["tag"] for r in engine.table("chunk_tags").filter(F.col("chunk_id") == chunks["receipts"]["chunk_id"]).collect()}
+    assert {"dialect:postgres", "sql-feature:jsonb", "sql-feature:uuid"} <= tags and "resource:receipts" not in tags
+
+    # A similar query is answered from the cache, another version is not; the cache keeps to its size.
+    cached = engine.cached_search("receipt", "v1", "2025-01-01 00:00:00")
+    assert engine.cached_search("receipts", "v1", "2025-01-01 01:00:00") == cached
+    assert [(r["query_text"], r["hit_count"]) for r in engine.table("semantic_cache").collect()] == [("receipt", 1)]
+    engine.cached_search("receipts", "v2", "2025-01-01 01:00:00")
+    assert engine.table("semantic_cache").count() == 1 and engine.table("exact_cache").count() == 2
