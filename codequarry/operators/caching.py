@@ -75,6 +75,4 @@ def semantic_hits(lookups: DataFrame, cache: DataFrame, now: Column, threshold:
 
 def evicted(cache: DataFrame, most: int = MOST_ENTRIES) -> DataFrame:
     """The cache cut to ``most`` entries: those used least go first, of them the oldest, of them the smallest id."""
-    overflow = F.count("*").over(Window.partitionBy()) - most
-    order = Window.orderBy("hit_count", "created_at", "entry_id")
-    return cache.withColumn("_n", F.row_number().over(order)).withColumn("_over", overflow).filter(F.col("_n") > F.col("_over")).select(cache.columns)
+    return cache.orderBy(F.desc("hit_count"), F.desc("created_at"), F.desc("entry_id")).limit(most)

@@ -480,20 +480,24 @@ def cache_put(spark: SparkSession, d: str) -> DataFrame:
     return after.select("query_hash", "result_json", "version_sha", "hit_count", "expires_at")
 
 
-def _semantic_cache(spark: SparkSession, d: str) -> DataFrame:
-    """At most 1,000 entries: unit vectors with scopes, modes and limits by id."""
+def _semantic_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Unit vectors with scopes, modes and limits by id."""
     rows = read_table(spark, d, "embeddings")
-    every = rows.select(
+    return rows.select(
         F.col("vec_id").alias("entry_id"), "embedding", F.when(F.col("vec_id") % 5 == 0, "v1").otherwise("v2").alias("version_sha"), F.when(F.col("vec_id") % 3 == 0, "backend").alias("scope"),
         F.lit("hybrid").alias("mode"), F.lit(10).alias("limit_n"), (F.col("vec_id") % 7).alias("hit_count"),
         (F.to_timestamp_ntz(F.lit(NOW)) + F.make_interval(mins=(F.col("vec_id") % 997).cast("int"))).alias("created_at"), F.to_timestamp_ntz(F.lit("2026-02-01 00:00:00")).alias("expires_at"),
     )
-    return caching.evicted(every)
+
+
+def _semantic_cache(spark: SparkSession, d: str) -> DataFrame:
+    """At most 1,000 entries."""
+    return caching.evicted(_semantic_entries(spark, d))
 
 
 @query
 def semantic_evicted(spark: SparkSession, d: str) -> DataFrame:
-    return caching.evicted(_semantic_cache(spark, d), 200).select("entry_id", "hit_count")
+    return caching.evicted(_semantic_entries(spark, d), 200).select("entry_id", "hit_count")
 
 
 @query

@@ -117,6 +117,16 @@ def test_semantic_cache(spark):
     assert [r["entry_id"] for r in caching.evicted(cache, 2).orderBy("entry_id").collect()] == [2, 3]
 
 
+def test_eviction_takes_the_best_of_each_part_first(spark):
+    rows = [(i, (i * 7) % 5 if i % 11 else None, (i * 3) % 4) for i in range(200)]
+    cache = spark.createDataFrame(rows, "entry_id long, hit_count long, created_at long").repartition(5)
+    kept = caching.evicted(cache, 30)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "Window" not in plan
+    want = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[0]))[-30:]
+    assert {r["entry_id"] for r in kept.collect()} == {r[0] for r in want} and caching.evicted(cache, 500).count() == 200
+
+
 def test_store_and_stream(spark, tmp_path):
     table = VersionedTable(spark, str(tmp_path / "t"))
     assert table.read_or_none() is None
