@@ -24,8 +24,6 @@ from codequarry.session import staged
 TREES, SHALLOWEST, WIDE = 26, 4, 40
 #: Expected share of pairs at the threshold that the deepest prefix must still find.
 TARGET_RECALL = 0.985
-#: Weights beyond this count as this in signatures (not in the exact similarity).
-MOST_UNITS = 256
 #: A pair whose 64-bit sketches differ in more bits is turned away: five deviations off at the threshold of 0.75.
 SKETCH_SIGMAS = 5.0
 
@@ -64,6 +62,23 @@ def _signatures(depth: int):
         x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
         return x ^ (x >> np.uint64(33))
 
+    def chance(x: np.ndarray) -> np.ndarray:
+        """Numbers between 0 and 1, without either."""
+        return ((x >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
+
+    def least_unit(seed: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """The least of as many chance numbers as each tag weighs. Only the numbers below all before them are drawn, and how far apart they stand: a few, whatever the weight."""
+        value, seed = chance(seed), seed.copy()
+        rows = np.flatnonzero(weight > 1)
+        at = np.ones(len(rows))
+        while len(rows):
+            seed[rows] = mix(seed[rows] + np.uint64(0x9E3779B97F4A7C15))
+            at += 1 + np.floor(np.log(chance(seed[rows])) / np.log1p(-value[rows]))
+            within = at <= weight[rows]
+            rows, at = rows[within], at[within]
+            value[rows] *= chance(mix(seed[rows] ^ np.uint64(0xD6E8FEB86659FD93)))
+        return value
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = ["cls", "sketch", "key", "deeper"]
         for b in batches:
@@ -73,14 +88,14 @@ def _signatures(depth: int):
                 sizes = np.asarray(pa.compute.list_value_length(items))
                 flat = items.flatten()
                 tag = np.asarray(flat.field("t")).view(np.uint64)
-                units = np.minimum(np.asarray(flat.field("w")), MOST_UNITS)
-                owner = np.repeat(np.repeat(np.arange(len(sizes)), sizes), units)
+                weight = np.asarray(flat.field("w"))
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                counts = weight > 0
+                tag, weight, owner = mix(tag[counts]), weight[counts], owner[counts]
                 if not len(owner):
                     continue
-                which = np.arange(len(owner)) - np.repeat(np.cumsum(units) - units, units)
-                element = mix(np.repeat(tag, units) + which.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                 starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-                least = np.stack([np.minimum.reduceat(mix(element * m + a), starts) for m, a in zip(mult, add, strict=True)], axis=1)
+                least = np.stack([mix(np.minimum.reduceat(least_unit(mix(tag * m + a), weight), starts).view(np.uint64)) for m, a in zip(mult, add, strict=True)], axis=1)
                 cls = np.asarray(part.column("cls"))[owner[starts]]
                 bits = (least[:, -64:] >> np.uint64(17)) & np.uint64(1)
                 sketch = (bits << np.arange(64, dtype=np.uint64)).sum(1, dtype=np.uint64).view(np.int64)

@@ -105,6 +105,26 @@ def test_tag_pairs_against_brute_force(spark):
     assert tagpairs.similar_tag_sets(tags.limit(0), known).count() == 0 and tagpairs.similar_tag_sets(tags, known.limit(0)).count() == 0
 
 
+def test_heavy_tags_count_whole_in_signatures():
+    rng = np.random.default_rng(6)
+    sets = []
+    for n in range(60):
+        # 1000 shared units of 1320: a case, and so is its signature.
+        for side in range(2):
+            own = rng.integers(0, 1 << 62, 8)
+            sets.append([{"t": 1_000_000 + n, "w": 1_000}, *({"t": int(t), "w": 20} for t in own)])
+    items = pa.array(sets, pa.list_(pa.struct([("t", pa.int64()), ("w", pa.int32())])))
+    sign, _ = tagpairs._signatures(tagpairs.deepest(0.75))
+    keys, deeper = {}, {}
+    for b in sign(iter([pa.RecordBatch.from_arrays([pa.array(range(120)), items], ["cls", "items"])])):
+        for r in b.to_pylist():
+            keys.setdefault(r["cls"], []).append(r["key"])
+            deeper.setdefault(r["cls"], []).append((r["key"], r["deeper"]))
+    share = np.mean([np.mean(np.array(keys[2 * n]) == np.array(keys[2 * n + 1])) for n in range(60)])
+    assert all(set(keys[2 * n]) & set(keys[2 * n + 1]) for n in range(60)) and abs(share - (1_000 / 1_320) ** 4) < 0.06
+    assert sum(bool(set(deeper[2 * n]) & set(deeper[2 * n + 1])) for n in range(60)) >= 56
+
+
 def test_blocks_hold_every_pair(spark):
     rows = spark.createDataFrame([(i, 1 if i < 40 else 2 if i < 45 else i, 0 if i % 2 else 7) for i in range(48)], "id long, key long, sketch long")
     want = {(a, b) for a in range(45) for b in range(a + 1, 45) if (a < 40) == (b < 40)}
