@@ -2,10 +2,12 @@
 
 Vectors are routed to the cells of their nearest pivots, so that the work does not
 grow with the square of the collection; the pivots are a bounded sample, all
-vectors are routed. Inside a cell, every vector has one value per random
-projection. A query's window on each projection's sorted values starts narrow and
-is widened by virtual rehashing until it covers the wanted similarity; vectors that
-fall in the window on enough projections (the collision threshold) are candidates,
+vectors are routed. Inside a cell, every vector
+has one value per random projection. Only the first projection is sorted: a window
+on it gives a slice of queries its pool, usually most of the cell. On all
+projections the values of queries and pool are compared pair by pair, within a
+width that starts narrow and is widened by virtual rehashing; vectors that
+lie within it on enough projections (the collision threshold) are candidates,
 and their exact cosine is computed. The result is approximate; ``measured_recall``
 in the tests holds it against brute force.
 """
