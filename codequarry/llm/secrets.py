@@ -38,9 +38,14 @@ _NAMED = re.compile(
 #: How far before a literal its name may begin.
 _BEFORE = 180
 _JOINED = re.compile(r"\s*(?:\+|\.|\|\||\\|<<)\s*|\s*\n\s*")
-_TELLING = re.compile(r"[\d!@#$%^&*=+~?]")
+_ASKING = re.compile(_ASK, re.I)
+# Comments after code and in blocks; what stands in literals is none.
+_REMARK = re.compile(rf"{_LITERAL}|(?P<remark>(?<![^\s;,(){{}}])(?://|#|--)(?=\s)[^\n]*|/\*[\s\S]*?\*/|<!--[\s\S]*?-->)")
+# A password among the parts of a connection string.
+_PART = re.compile(r"(?:^|[\s;])(?:password|pwd)\s*=\s*(?P<value>'[^']*'|[^;\s\"']+)", re.I)
+_NO_PART = re.compile(r"[$%{<(\[:@?]|(?:true|false|yes|no|required|optional)$", re.I)
 _COMMENT = re.compile(r"(?m)^[ \t]*(?://|#|--|\*|/\*|<!--|;|\"\"\")[^\n]*|^[ \t]*[\w.\-]{3,60}[ \t]*=[ \t]*[^\s\"'`;(){}\[\]]{6,}[ \t]*\r?$")
-_MARKS = ("eyJ", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat", "xox", "AIza", "sk-", "npm_", "live_", "live-", "test_", "pat-", "pat_", "prod_")
+_MARKS = ("eyJ", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat", "xox", "AIza", "sk-", "npm_", "live_", "live-", "test_", "test-", "pat-", "pat_", "prod_", "prod-")
 _PLAIN = re.compile(rf"(?P<name>[\w\-]*(?:{_ASK}|passwort)[\w\-]*)\s*(?:is\s+|[:=]{{1,2}}>?\s*|\s은\s|\s는\s)(?P<value>[^\s\"'`,;(){{}}<>\[\]]{{6,}})", re.I)
 _URL = re.compile(r"://(?P<user>[^\s:/@\"'`]*):(?P<value>[^\s/@\"'`]+)@", re.I)
 _QUERY = re.compile(r"[?&](?P<name>[\w\-]*(?:token|key|secret|sig|signature|password|pwd|auth|code)[\w\-]*)=(?P<value>[^&\s\"'`#<>]+)", re.I)
@@ -101,8 +106,11 @@ def _random(value: str, path: str) -> bool:
 
 def _is_secret(value: str, ask: str, path: str) -> bool:
     """Whether a literal under a name that asks for a secret is one."""
-    if len(value) < 6 or _PLACEHOLDER.search(value) or _UUID.match(value) or _ENCODED.search(value):
+    if len(value) < 6 or _PLACEHOLDER.search(value) or _UUID.match(value) or _ENCODED.search(value.replace(" ", "")):
         return False
+    if " " in value:
+        # Words with blanks between are a message, unless they are unnatural as a whole.
+        return ask in ("password", "secret") and bool(re.search(r"\d", value)) and _random(value.replace(" ", ""), path)
     words = _words(value)
     if all(w in _SENSITIVE_WORDS or w in _OTHER for w in words):
         return False
@@ -132,14 +140,21 @@ def find_secrets(text: str, path: str) -> list[tuple[int, int]]:
             runs.append([(s, e)])
     for parts in runs:
         value = "".join(text[s + 1 : e - 1] for s, e in parts)
-        if len(value) > 4_000 or not _TELLING.search(value) or " " in value:
-            continue
+        # Other parts make a connection string of it.
+        if value.count("=") > 1:
+            for start, end in parts:
+                for m in _PART.finditer(text[start + 1 : end - 1]):
+                    inner = m["value"].strip("'")
+                    if len(inner) >= 3 and not _PLACEHOLDER.search(inner) and not _NO_PART.match(inner) and not all(w in _SENSITIVE_WORDS for w in _words(inner)):
+                        at = start + 1 + m.start("value") + m["value"].startswith("'")
+                        spans.append((at, at + len(inner)))
         s = parts[0][0]
         line = text.rfind("\n", max(0, s - _BEFORE), s) + 1
         before = text[max(line, s - _BEFORE) : s]
         if not before.strip(" \t(") and line > 1:
             before = text[max(0, s - _BEFORE) : s]
-        named = _NAMED.search(before)
+        # Every name that asks holds one of these words.
+        named = _ASKING.search(before) and _NAMED.search(before)
         # A longer name is a literal before this one, not a name.
         if named and len(named["name"]) <= MAX_NAME and (ask := _asks(named["name"])) and _is_secret(value, ask, path):
             spans += [(s + 1, e - 1) for s, e in parts]
@@ -160,8 +175,10 @@ def find_secrets(text: str, path: str) -> list[tuple[int, int]]:
             if all(w in _SENSITIVE_WORDS for w in _words(value)) or (pattern is _FLAG and _ENCODED.search(value)):
                 continue
             spans.append((m.start("value"), m.start("value") + len(value)))
-    for c in _COMMENT.finditer(text):
-        for m in _PLAIN.finditer(text, c.start(), c.end()):
+    asking = _ASKING.search(text)
+    comments = [c.span() for c in _COMMENT.finditer(text)] + [c.span("remark") for c in _REMARK.finditer(text) if c["remark"]] if asking else []
+    for start, end in comments:
+        for m in _PLAIN.finditer(text, start, end):
             ask = _asks(m["name"])
             value = m["value"].rstrip(".,;:!")
             # Code in comments reads values from elsewhere.

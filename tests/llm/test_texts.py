@@ -5,6 +5,7 @@ import re
 import pytest
 
 from codequarry.llm import docpairs, provenance, secrets, sentences
+from codequarry.llm.tokens import rank_file
 
 CHUNKS = "chunk_id long, file_path string, chunk_type string, symbol_name string, content string, doc_comment string, language string, text string, id long, lines string, evidence string"
 
@@ -153,3 +154,22 @@ def test_sentences_hold_all_characters(spark):
     for text in texts:
         ends = sentences.sentence_ends(text)
         assert re.sub(r"\s", "", text[: ends[-1]]) == re.sub(r"\s", "", text)
+
+
+def test_filters_before_the_rules_lose_no_secrets():
+    path = rank_file("byte_bpe_50k", None)
+    long = "aZ3kQ9" * 700
+    cases = [
+        ('c = connect("host=db user=app password=Zk3!qq81x")', "Zk3!qq81x"),
+        ('s = "Server=a;User Id=app;Password=Hq7vLm2;"', "Hq7vLm2"),
+        ('s = "jdbc:sqlserver://h;user=a;" + "password=Hq7vLm2"', "Hq7vLm2"),
+        ('password = "xkvqzjwpthbn"', "xkvqzjwpthbn"),
+        ('password = "Tq9 xV2k Lm7Rz 4Wp"', "Tq9 xV2k Lm7Rz 4Wp"),
+        (f'token = "{long}"', long),
+        ("f()  # password: Zk3!qq81x", "Zk3!qq81x"),
+        ("f(); /* then\n the password is Zk3!qq81x */ g()", "Zk3!qq81x"),
+    ]
+    for text, value in cases:
+        assert [text[s:e] for s, e in secrets.find_secrets(text, path)] == [value]
+    for text in ('ask(password, "Password must have 8 characters")', 's = "host=db user=app password=%s"', 's = "user=app password=${PW}"', 'password = "Bitte eingeben"'):
+        assert not secrets.find_secrets(text, path)
