@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codequarry.functions import chunkers, embedding, fulltext, hashing, identifiers, sqltext, structure, vectors
@@ -25,6 +25,8 @@ _QUERIES: dict[str, Query] = {}
 TAG_RULES = [("uses-cache", r"\bcache\w*"), ("raises", r"(?:throw new|raise) \w+"), ("receipts", "receipts?/")]
 IGNORE_RULES = ["node_modules/", "*.min.js", "/vendor/", "services/**", "!services/ocr/**", "*.sql"]
 NOW = "2026-01-01 00:00:00"
+#: A file put together from chunks is parsed in stretches of whole chunks; a new one begins after so many characters.
+STRETCH = 1 << 20
 
 
 def query(f: Query) -> Query:
@@ -328,9 +330,17 @@ def source_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Files put together from their chunks and split again by language."""
     part = F.struct("start_line", "chunk_id", "content")
     rows = _chunks(spark, d).filter("file_path is not null and content is not null")
-    files = rows.groupBy("file_path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(part)), lambda x: x["content"]), "\n\n").alias("content"))
-    files = files.withColumn("language", structure.language_of(F.col("file_path")))
-    return chunkers.chunked(files).select("file_path", "language", "chunk_type", "symbol_name", "receiver_type", "start_line", "end_line", "error")
+    before = Window.partitionBy("file_path").orderBy(F.asc_nulls_first("start_line"), "chunk_id").rowsBetween(Window.unboundedPreceding, -1)
+    sized = rows.select("file_path", "start_line", "chunk_id", "content", F.length("content").cast("long").alias("size"), (F.size(F.split("content", "\n", -1)) + 1).cast("long").alias("lines"))
+    # Where each chunk stands in its file: characters and lines before it.
+    placed = sized.withColumn("stretch", F.floor(F.coalesce(F.sum("size").over(before), F.lit(0)) / STRETCH)).withColumn("first", F.coalesce(F.sum("lines").over(before), F.lit(0)))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(part)), lambda x: x["content"]), "\n\n")
+    files = placed.repartition("file_path", "stretch").groupBy("file_path", "stretch").agg(text.alias("content"), F.min("first").alias("first"))
+    # The line goes with the path through the parser.
+    files = files.withColumn("language", structure.language_of(F.col("file_path"))).withColumn("file_path", F.concat_ws("\0", F.col("first").cast("string"), "file_path"))
+    at, path = F.substring_index("file_path", "\0", 1).cast("int"), F.expr("substring(file_path, instr(file_path, char(0)) + 1)")
+    found = chunkers.chunked(files).withColumns({"start_line": F.col("start_line") + at, "end_line": F.col("end_line") + at, "file_path": path})
+    return found.select("file_path", "language", "chunk_type", "symbol_name", "receiver_type", "start_line", "end_line", "error")
 
 
 @query

@@ -10,6 +10,7 @@ from codequarry.api import Engine, rendered
 from codequarry.config import Settings
 from codequarry.functions.embedding import hashed
 from codequarry.operators import caching, ledger, search
+from codequarry.plans import catalogue
 from codequarry.store import VersionedTable
 from codequarry.streaming import upkeep
 
@@ -127,6 +128,19 @@ def test_eviction_takes_the_best_of_each_part_first(spark):
     assert {r["entry_id"] for r in kept.collect()} == {r[0] for r in want} and caching.evicted(cache, 500).count() == 200
 
 
+def test_large_files_are_parsed_in_stretches(spark, monkeypatch):
+    rows = [(i, "a.py" if i % 4 else "b.py", None if i == 3 else 100 - i // 2, f"def f{i}(a):\n    return {i}" + "\n" * (i % 3)) for i in range(40)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, file_path string, start_line int, content string")
+    monkeypatch.setattr(catalogue, "_chunks", lambda spark, d: chunks)
+    sizes = []
+    chunked = catalogue.chunkers.chunked
+    monkeypatch.setattr(catalogue.chunkers, "chunked", lambda files: sizes.append(files.select(F.max(F.length("content"))).head()[0]) or chunked(files))
+    whole = sorted(map(str, catalogue.source_chunks(spark, "").collect()))
+    monkeypatch.setattr(catalogue, "STRETCH", 60, raising=False)
+    assert sorted(map(str, catalogue.source_chunks(spark, "").collect())) == whole and len(whole) == 40
+    assert sizes[0] > 700 and sizes[1] < 120
+
+
 def test_store_and_stream(spark, tmp_path):
     table = VersionedTable(spark, str(tmp_path / "t"))
     assert table.read_or_none() is None
