@@ -1,15 +1,17 @@
 """The most similar vectors of every vector, by collision counting (problem 5).
 
-Vectors are routed to the cells of their nearest pivots, so that the work does not
-grow with the square of the collection; the pivots are a bounded sample, all
-vectors are routed. Inside a cell, every vector
-has one value per random projection. Only the first projection is sorted: a window
-on it gives a slice of queries its pool, usually most of the cell. On all
-projections the values of queries and pool are compared pair by pair, within a
-width that starts narrow and is widened by virtual rehashing; vectors that
-lie within it on enough projections (the collision threshold) are candidates,
-and their exact cosine is computed. The result is approximate; ``measured_recall``
-in the tests holds it against brute force.
+Every vector is hashed on single random projections: a sketch holds the side of
+``PROJECTIONS`` of them, and two vectors collide on those where they lie on the same
+side. There are ``ARRAYS`` sorted arrays, each over all vectors: a vector's key is
+the sequence of the strongest projections of several random rotations, so that the
+vectors around its place share a prefix of it. In each array a window around the
+place of every query is looked through; virtual rehashing widens it for the queries
+that have not met enough near vectors yet. Pairs whose collisions exceed the
+threshold in any window are verified by their cosine.
+
+Spark partitions the arrays by range, so a window is local, its size does not depend
+on the number of vectors, and a dense region is split like any other. The result is
+approximate; ``measured_recall`` in the tests holds it against brute force.
 """
 
 from __future__ import annotations
@@ -22,22 +24,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Most pivots, whatever the size: a sample of at most this many vectors passes through the driver.
-MAX_PIVOTS = 16_384
-#: Cells a vector is routed to, and the most rows of a cell that one task compares at once.
-PROBES, BLOCK = 3, 6_000
-#: Random projections, and how many of them two vectors must collide on.
-PROJECTIONS, COLLISIONS = 24, 19
-#: Half width of the widest window in standard deviations of the difference of two vectors at the wanted similarity.
-WIDEST = 1.85
-#: Steps of virtual rehashing: the share of the widest window that each round uses.
-ROUNDS = (0.5, 1.0)
-#: Pairs whose cosine is computed at once, and found pairs of two blocks that are kept before they are cut to the best.
-PAIRS, HELD = 1 << 17, 1 << 20
+#: Sorted arrays, and hash values of a key.
+ARRAYS, DEPTH = 12, 4
+#: Projections whose collisions are counted.
+PROJECTIONS = 128
+#: The collision threshold lies so many deviations below the mean of two vectors at the least wanted similarity.
+SIGMAS = 2.0
+#: Virtual rehashing: how far each round's window reaches to either side, in places.
+ROUNDS = (64, 256)
+#: A query is done once it has met ``k`` vectors with the collisions of this share of the widest radius.
+NEAR = 0.5
+#: Rows of an array that are looked through at once.
+STRETCH = 1 << 16
 
 
 def usable_vectors(vectors: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
-    """``id, vkey, v``: rows with ``dim`` finite components, not all zero; ``v`` holds them as float32 bytes, ``vkey`` is a hash of them."""
+    """``id, vkey, v``: rows with ``dim`` finite components, not all zero.
+
+    ``vkey`` is a hash of the components; ``v`` holds them as multiples of the
+    largest one's 32,767th part, two bytes each: cosines keep five decimals.
+    """
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -50,106 +56,138 @@ def usable_vectors(vectors: DataFrame, id_col: str, vec_col: str, dim: int) -> D
             x = np.asarray(flat.cast(pa.float32()).fill_null(float("nan")), dtype=np.float32).reshape(-1, dim) + np.float32(0)
             good = np.isfinite(x).all(1) & (x != 0).any(1)
             x, ids = np.ascontiguousarray(x[good]), ids.filter(pa.array(good))
-            rows = [r.tobytes() for r in x]
-            keys = np.fromiter((xxhash.xxh3_64_intdigest(r) for r in rows), np.uint64, len(rows)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(keys), pa.array(rows, pa.binary())], ["id", "vkey", "v"])
+            keys = np.fromiter((xxhash.xxh3_64_intdigest(r) for r in map(memoryview, x)), np.uint64, len(x)).view(np.int64)
+            short = np.rint(x / np.abs(x).max(1, keepdims=True, initial=1e-45).astype(np.float64) * 32_767).astype(np.int16)
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(keys), _bytes(short)], ["id", "vkey", "v"])
 
     return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("e")).filter("id is not null").mapInArrow(keep, "id long, vkey long, v binary")
 
 
+def _bytes(rows: np.ndarray) -> pa.Array:
+    """One binary value a row."""
+    width = rows.shape[1] * rows.itemsize
+    at = np.arange(0, (len(rows) + 1) * width, width, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
+
+
 def _unit(col: pa.Array, dim: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(col.to_pylist()), np.float32).reshape(-1, dim).astype(np.float64)
-    return x / np.linalg.norm(x / np.abs(x).max(1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(1, keepdims=True)
+    x = np.frombuffer(b"".join(col.to_pylist()), np.int16).reshape(-1, dim).astype(np.float32)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _route(pivots: np.ndarray, dim: int, with_vector: bool):
-    """Rows of ``cell, vkey[, v]``: each vector once for each of its nearest pivots."""
+def _hashed(dim: int):
+    """Arrow function: rows of ``key, vkey, s0, s1``, a row for each vector and array. The key begins with the number of the array."""
+    rng = np.random.default_rng(5)
+    rotations = [np.linalg.qr(rng.standard_normal((dim, dim)))[0].astype(np.float32) for _ in range(ARRAYS)]
+    axes = rng.standard_normal((dim, PROJECTIONS)).astype(np.float32)
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            # Copies within a batch go here already, so that a vector of many ids is a few rows only.
+            first = np.unique(np.asarray(b.column("vkey")), return_index=True)[1]
+            b = b.take(pa.array(first))
             if not b.num_rows:
                 continue
-            near = _unit(b.column("v"), dim).astype(np.float32) @ pivots.T
-            probes = min(PROBES, len(pivots))
-            cells = np.argpartition(-near, probes - 1, axis=1)[:, :probes].astype(np.int32).ravel()
-            at = pa.array(np.repeat(np.arange(b.num_rows), probes))
-            cols = [pa.array(cells), b.column("vkey").take(at)] + ([b.column("v").take(at)] if with_vector else [])
-            yield pa.RecordBatch.from_arrays(cols, ["cell", "vkey", "v"][: len(cols)])
+            unit, vkey = _unit(b.column("v"), dim), b.column("vkey")
+            sketch = np.packbits(unit @ axes > 0, axis=1).view(np.int64)
+            strongest = []
+            for r in rotations:
+                y = unit @ r
+                at = np.abs(y).argmax(1)
+                strongest.append(2 * at + (y[np.arange(len(y)), at] < 0))
+            for j in range(ARRAYS):
+                key = np.full(b.num_rows, j, np.int64)
+                for step in range(DEPTH):
+                    key = key * (2 * dim) + strongest[(j + step * (step + 1) // 2) % ARRAYS]
+                yield pa.RecordBatch.from_arrays([pa.array(key), vkey, pa.array(sketch[:, 0]), pa.array(sketch[:, 1])], ["key", "vkey", "s0", "s1"])
+
+    return run, "key long, vkey long, s0 long, s1 long"
+
+
+def collisions(similarity: float, sigmas: float = 0.0) -> int:
+    """The number of projections on which vectors of a similarity collide, less so many deviations."""
+    p = 1 - math.acos(similarity) / math.pi
+    return math.ceil(PROJECTIONS * p - sigmas * math.sqrt(PROJECTIONS * p * (1 - p)))
+
+
+def _look(k: int, least: float, dim: int):
+    """Arrow function over rows in the order of their keys: pairs ``a < b`` that collide often enough within a window."""
+    enough, near = collisions(least, SIGMAS), collisions(1 - (1 - least) * NEAR)
+    one_array, reach = (2 * dim) ** DEPTH, ROUNDS[-1]
+
+    def pairs(key: np.ndarray, vkey: np.ndarray, sketch: np.ndarray, met: np.ndarray, until: int) -> tuple[np.ndarray, np.ndarray]:
+        """Compares the first ``until`` rows with those that follow; ``met`` counts the near vectors of each row."""
+        array, found, before = key // one_array, [], 0
+        for after in ROUNDS:
+            done = met >= k
+            for step in range(before + 1, after + 1):
+                n = min(until, len(key) - step)
+                if n <= 0:
+                    break
+                if before:
+                    a = np.flatnonzero(~(done[:n] & done[step : n + step]) & (array[:n] == array[step : n + step]))
+                else:
+                    a = np.flatnonzero(array[:n] == array[step : n + step])
+                same = PROJECTIONS - np.bitwise_count(sketch[a] ^ sketch[a + step]).sum(1, dtype=np.int64)
+                hit = same >= enough
+                close = a[same >= near]
+                np.add.at(met, close, 1)
+                np.add.at(met, close + step, 1)
+                found.append(np.stack([a[hit], a[hit] + step]))
+            before = after
+        at = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
+        x, y = vkey[at[0]], vkey[at[1]]
+        both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+        return both[0], both[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, 2), np.uint64), np.empty(0, np.int64)]
+
+        def emit(last: bool) -> pa.RecordBatch:
+            key, vkey, sketch, met = held
+            # Copies stand side by side; those looked at before stand first.
+            new = np.r_[True, (key[1:] != key[:-1]) | (vkey[1:] != vkey[:-1])] if len(key) else np.empty(0, bool)
+            key, vkey, sketch, met = key[new], vkey[new], sketch[new], met[new]
+            until = len(key) if last else max(0, len(key) - reach)
+            a, b = pairs(key, vkey, sketch, met, until)
+            held[:] = [key[until:], vkey[until:], sketch[until:], met[until:]]
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return route
+        for b in batches:
+            c = [np.asarray(x) for x in b.columns]
+            new = [c[0], c[1], np.stack([c[2], c[3]], axis=1).view(np.uint64), np.zeros(len(c[0]), np.int64)]
+            held[:] = [np.concatenate(x) for x in zip(held, new, strict=True)]
+            if len(held[0]) > STRETCH:
+                yield emit(False)
+        yield emit(True)
 
+    return run
 
-def _collide(left: np.ndarray, right: np.ndarray, width: float) -> np.ndarray:
-    """Number of projections (columns) on which each pair of rows lies within ``width``."""
-    count = np.zeros((len(left), len(right)), np.uint8)
-    for j in range(left.shape[1]):
-        count += np.abs(left[:, j, None] - right[None, :, j]) <= width
-    return count
 
+def _cosines(least: float, dim: int):
+    """Arrow function: pairs with both vectors, kept if their cosine is at least ``least``."""
 
-def _best(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The best ``k`` of each left row; a pair found in two rounds stands once."""
-    a, b, sim = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, int),) * 2 + (np.empty(0),)
-    pair = np.unique(a * len(keys) + b, return_index=True)[1]
-    a, b, sim = a[pair], b[pair], sim[pair]
-    order = np.lexsort((keys[b], -sim, a))
-    a, b, sim = a[order], b[order], sim[order]
-    top = np.arange(len(a)) - np.searchsorted(a, a, "left") < k
-    return a[top], b[top], sim[top]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y = _unit(b.column("x"), dim).astype(np.float64), _unit(b.column("y"), dim).astype(np.float64)
+                sim = np.einsum("ij,ij->i", x, y)
+                ok = pa.array(sim >= least)
+                yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok), pa.array(sim).filter(ok)], ["a", "b", "similarity"])
 
+    return run
 
-def _compare(k: int, least: float, dim: int):
-    """Per cell and pair of blocks: each vector's ``k`` most similar ones among those found there."""
-    rng = np.random.default_rng(5)
-    axes = rng.standard_normal((dim, PROJECTIONS))
-    spread = math.sqrt(max(2 - 2 * least, 1e-6))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches))
-        keys, blocks, bi = np.asarray(t["vkey"]), np.asarray(t["block"]), t["bi"][0].as_py()
-        unit = _unit(t["v"].combine_chunks(), dim)
-        same = t["bi"][0].as_py() == t["bj"][0].as_py()
-        mine = np.flatnonzero(blocks == bi)
-        others = mine if same else np.flatnonzero(blocks != bi)
-        # One unit of the projected values is 1/64 of the widest window's deviation; int16 keeps the counting narrow.
-        hashed = np.clip(np.rint(unit @ axes / spread * 64), -32_000, 32_000).astype(np.int16)
-        # Sorted by the first projection, a slice of queries needs the rows inside its own windows only.
-        mine, others = mine[np.argsort(hashed[mine, 0], kind="stable")], others[np.argsort(hashed[others, 0], kind="stable")]
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        mirrored: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        # The rows of another block do not ask here, so a query that has its own k may not stop for them.
-        rounds = ROUNDS if same else ROUNDS[-1:]
-        for s in range(0, len(mine), 256):
-            todo = mine[s : s + 256]
-            own: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for part in rounds:
-                width = int(WIDEST * 64 * part)
-                # The window on the first projection is wider: a pair may miss a few of the others, not this one.
-                reach = 64 * 4
-                lo = np.searchsorted(hashed[others, 0], hashed[todo[0], 0] - reach)
-                hi = np.searchsorted(hashed[others, 0], hashed[todo[-1], 0] + reach, "right")
-                pool = others[lo:hi]
-                q, c = np.nonzero(_collide(hashed[todo], hashed[pool], width) >= COLLISIONS)
-                a, b = todo[q], pool[c]
-                sim = np.concatenate([np.einsum("ij,ij->i", unit[a[i : i + PAIRS]], unit[b[i : i + PAIRS]]) for i in range(0, max(len(a), 1), PAIRS)])
-                ok = (sim >= least) & (a != b)
-                a, b, sim = a[ok], b[ok], sim[ok]
-                own.append((a, b, sim))
-                if not same:
-                    mirrored.append((b, a, sim))
-                # Done are the queries with k vectors at least as near as this round's windows are wide.
-                near = sim >= 1 - (1 - least) * part * part
-                done = np.bincount(a[near], minlength=len(keys))[todo] >= k
-                todo = todo[~done]
-                if not len(todo):
-                    break
-            found.append(_best(own, keys, k))
-            if sum(len(x[0]) for x in mirrored) > HELD:
-                mirrored = [_best(mirrored, keys, k)]
-        a, b, sim = _best(found + mirrored, keys, k)
-        yield pa.RecordBatch.from_arrays([pa.array(keys[a]), pa.array(keys[b]), pa.array(sim, pa.float64())], ["vkey", "other", "similarity"])
 
-    return compare
+def similar_pairs(rows: DataFrame, k: int, least: float, dim: int) -> DataFrame:
+    """``a, b, similarity`` of the pairs of distinct vectors ``vkey, v`` that the windows find."""
+    hashed, schema = _hashed(dim)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    arrays = rows.select("vkey", "v").mapInArrow(hashed, schema).repartitionByRange(parts, "key", "vkey").sortWithinPartitions("key", "vkey")
+    # Partitioned by one side, pairs that several arrays find are told apart where they are joined.
+    pairs = arrays.mapInArrow(_look(k, least, dim), "a long, b long").repartition("a").dropDuplicates(["a", "b"])
+    each = rows.groupBy("vkey").agg(F.first("v").alias("v"))
+    full = pairs.join(each.select(F.col("vkey").alias("a"), F.col("v").alias("x")), "a").join(each.select(F.col("vkey").alias("b"), F.col("v").alias("y")), "b")
+    return full.select("a", "b", "x", "y").mapInArrow(_cosines(least, dim), "a long, b long, similarity double")
 
 
 def most_similar(vectors: DataFrame, k: int = 5, min_similarity: float = 0.85, dim: int = 64, id_col: str = "chunk_id", vec_col: str = "embedding") -> DataFrame:
@@ -159,29 +197,12 @@ def most_similar(vectors: DataFrame, k: int = 5, min_similarity: float = 0.85, d
     infinities are left out, as are null ids. A repeated id counts once (the
     smallest hash of its vectors). Equal vectors under several ids are compared
     once and are each other's neighbours at similarity 1. Ties go to the smaller
-    hash of the vector, among equal vectors to the smaller id. Other columns are ignored.
+    hash of the vector, among equal vectors to the smaller id. Other columns are
+    ignored; an empty table gives no rows.
     """
-    spark = vectors.sparkSession
     rows = usable_vectors(vectors, id_col, vec_col, dim)
-    empty = spark.createDataFrame([], f"{id_col} long, neighbour long, similarity double, rank int")
-    n = rows.agg(F.approx_count_distinct("vkey").alias("n")).collect()[0]["n"]
-    if not n:
-        return empty
-    wanted = max(1, min(MAX_PIVOTS, round(1.5 * math.sqrt(n))))
-    # A bounded sample, the same on every run: the distinct vectors with the smallest hashes.
-    sample = rows.groupBy("vkey").agg(F.count("*")).orderBy(F.xxhash64("vkey"), "vkey").limit(wanted).select("vkey")
-    picked = rows.join(F.broadcast(sample), "vkey", "left_semi").dropDuplicates(["vkey"]).orderBy("vkey").select("v").toArrow()
-    pivots = _unit(picked["v"].combine_chunks(), dim).astype(np.float32)
-
-    sizes = rows.select("vkey", "v").mapInArrow(_route(pivots, dim, False), "cell int, vkey long").groupBy("cell").agg(F.approx_count_distinct("vkey").alias("n"))
-    # As many rows as pivots.
-    parts = F.broadcast(spark.createDataFrame([(r["cell"], -(-int(r["n"] * 1.1) // BLOCK)) for r in sizes.collect()], "cell int, parts int"))
-    routed = rows.select("vkey", "v").dropDuplicates(["vkey"]).mapInArrow(_route(pivots, dim, True), "cell int, vkey long, v binary")
-    blocks = routed.join(parts, "cell").withColumn("block", F.pmod(F.xxhash64("vkey"), F.col("parts")).cast("int"))
-    blocks = blocks.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    blocks = blocks.select("cell", F.least("block", "with").alias("bi"), F.greatest("block", "with").alias("bj"), "block", "vkey", "v")
-    near = blocks.groupBy("cell", "bi", "bj").applyInArrow(_whole(_compare(k, min_similarity, dim)), "vkey long, other long, similarity double")
-    near = near.groupBy("vkey", "other").agg(F.max("similarity").alias("similarity"))
+    two = F.explode(F.array(F.struct(F.col("a").alias("vkey"), F.col("b").alias("other")), F.struct(F.col("b").alias("vkey"), F.col("a").alias("other"))))
+    near = similar_pairs(rows, k, min_similarity, dim).select(two.alias("p"), "similarity").select("p.*", "similarity")
     best = Window.partitionBy("vkey").orderBy(F.desc("similarity"), "other")
     near = near.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
 
@@ -198,11 +219,3 @@ def most_similar(vectors: DataFrame, k: int = 5, min_similarity: float = 0.85, d
     taken = own.select(F.col("id").alias(id_col), F.posexplode(F.expr(f"slice(filter(offers, o -> o.neighbour != id), 1, {k})")).alias("at", "o"))
     return taken.select(id_col, "o.neighbour", "o.similarity", (F.col("at") + 1).alias("rank"))
 
-
-def _whole(kernel):
-    """A grouped Arrow function from one over batches."""
-
-    def run(table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(kernel(iter(table.to_batches()))))
-
-    return run

@@ -194,9 +194,9 @@ def measured_recall(found, x, ids, k, least):
     return len(want & found) / len(want), found - want
 
 
-@pytest.mark.parametrize("block", [6_000, 40])
-def test_vectors_against_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(vectors, "BLOCK", block)
+@pytest.mark.parametrize("stretch", [1 << 16, 50])
+def test_vectors_against_brute_force(spark, monkeypatch, stretch):
+    monkeypatch.setattr(vectors, "STRETCH", stretch)
     rng = np.random.default_rng(8)
     centres = rng.standard_normal((150, 16))
     x = np.concatenate([c + rng.standard_normal((rng.integers(1, 12), 16)) * 0.15 for c in centres]).astype(np.float32) * 3
@@ -209,24 +209,28 @@ def test_vectors_against_brute_force(spark, monkeypatch, block):
     assert recall >= 0.9 and len(extra) <= 0.05 * len(found) and max(r["rank"] for r in got) <= 5
 
 
-def test_rows_of_another_block_keep_their_neighbours():
-    rng = np.random.default_rng(4)
-    centre = rng.standard_normal(64)
-    centre /= np.linalg.norm(centre)
-    off = rng.standard_normal((30, 64))
-    off -= (off @ centre)[:, None] * centre
-    # Both blocks hold rows close to one centre, the second one also rows that are less similar to it.
-    loose = 0.9 * centre + np.sqrt(1 - 0.81) * off / np.linalg.norm(off, axis=1, keepdims=True)
-    near = centre + rng.standard_normal((40, 64)) * 0.008
-    x = np.concatenate([near, loose]).astype(np.float32)
-    block = np.array([0] * 20 + [1] * 50, np.int32)
-    table = pa.table({"vkey": np.arange(70), "block": block, "bi": np.zeros(70, np.int32), "bj": np.ones(70, np.int32), "v": pa.array([r.tobytes() for r in x], pa.binary())})
-    got = {}
-    for r in vectors._whole(vectors._compare(5, 0.85, 64))(table).to_pylist():
-        got.setdefault(r["vkey"], set()).add(r["other"])
+def test_windows_look_through_few_of_many_vectors(spark):
+    """Windows do not grow with the collection: of 20,000 vectors they cover a part, and still find the near ones, in dense regions too."""
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((6_000, 64))
+    x = np.concatenate([np.repeat(centres, 3, axis=0) + rng.standard_normal((18_000, 64)) * 0.3, centres[0] + rng.standard_normal((2_000, 64)) * 0.2]).astype(np.float32)
+    found = {(r["chunk_id"], r["neighbour"]) for r in vectors.most_similar(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "chunk_id long, embedding array<float>")).collect()}
+    part = np.r_[0:6_000]
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    for b in range(20, 70):
-        assert got[b] == set(np.argsort(-(unit[:20] @ unit[b]), kind="stable")[:5])
+    want = set()
+    for i in part[3:]:
+        sim = unit @ unit[i]
+        sim[i] = -1
+        want |= {(i, int(j)) for j in np.argsort(-sim)[:5] if sim[j] >= 0.85}
+    assert len(want & found) >= 0.9 * len(want) > 5_000
+    dense = {a for a, _ in found if a >= 18_000}
+    assert len(dense) == 2_000
+    assert vectors.ARRAYS * 2 * vectors.ROUNDS[-1] < len(x) / 3
+
+
+def test_collision_threshold():
+    assert vectors.collisions(1.0) == vectors.PROJECTIONS and vectors.collisions(0.0) == vectors.PROJECTIONS // 2
+    assert vectors.collisions(0.85, 2) < vectors.collisions(0.85) < vectors.collisions(0.95)
 
 
 def test_equal_vectors(spark):
