@@ -51,6 +51,15 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_chunks(read_table(spark, sf_dir, "chunks"))
 
 
+def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicate_classes(read_table(spark, sf_dir, "chunks"))
+
+
+def p6_traversal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pairs of nodes the traversal tests and follows, by level."""
+    return neardup.traversal_counts(neardup.signed_records(read_table(spark, sf_dir, "chunks"), neardup.chunk_text()))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.found_lines(secrets.redacted_chunks(read_table(spark, sf_dir, "chunks")))
 
@@ -82,7 +91,7 @@ def p10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     own = [
-        p1_found, p1_pairs, p2_found, p2_evidence, p3_found, p3_pieces, p4_found, p5_found, p6_found,
+        p1_found, p1_pairs, p2_found, p2_evidence, p3_found, p3_pieces, p4_found, p5_found, p6_found, p6_classes, p6_traversal,
         p7_found, p7_redacted, p8_ids, p9_mix, p9_shares, p10_found, p10_sentences,
     ]
     return {f.__name__: f for f in own}

@@ -166,22 +166,49 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, block):
     assert neardup.near_duplicate_chunks(df.limit(0)).count() == 0
 
 
+def test_near_duplicate_classes(spark):
+    text = lambda n, *more: " ".join([f"w{n}_{i}" for i in range(60)] + list(more))
+    rows = [(1, None, text(1)), (2, "", text(1)), (3, None, text(1, "x")), (4, None, text(2)), (5, None, "short"), (1, None, text(1))]
+    df = spark.createDataFrame(rows, "chunk_id long, signature string, content string")
+    got = {r["chunk_id"]: (r["cls"], r["links"]) for r in neardup.near_duplicate_classes(df).collect()}
+    assert set(got) == {1, 2, 3, 4} and got[1] == got[2] and got[1][1] == got[3][1] == 1 and got[4][1] == 0
+    assert len({c for c, _ in got.values()}) == 3
+
+
 def test_trees_prune_only_what_cannot_match():
     rng = np.random.default_rng(2)
-    sets = [np.unique(rng.integers(0, 1 << 62, rng.integers(25, 60))) for _ in range(30)]
-    sets += [np.unique(np.r_[s[3:], rng.integers(0, 1 << 62, 3)]) for s in sets for _ in range(3)]
-    bits = np.zeros((len(sets), neardup.BITS), bool)
-    for i, s in enumerate(sets):
-        bits[i, s % neardup.BITS] = True
-    words = np.packbits(bits, axis=1).view(np.uint64)
+    sets = [np.unique(rng.integers(0, 1 << 62, rng.integers(25, 60), np.uint64)) for _ in range(30)]
+    sets += [np.unique(np.r_[s[3:], rng.integers(0, 1 << 62, 3, np.uint64)]) for s in sets for _ in range(3)]
     size = np.array([len(s) for s in sets], np.int32)
     want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if _jaccard(set(sets[i]), set(sets[j])) >= 0.7}
-    tree = neardup._Tree(words, size)
-    found = set(zip(*(x.tolist() for x in neardup._traverse(tree, tree, True, 0.7)), strict=True))
-    assert want <= found and len(found) < len(sets) * (len(sets) - 1) / 4
-    half = len(sets) // 2
-    a, b = neardup._traverse(neardup._Tree(words[:half], size[:half]), neardup._Tree(words[half:], size[half:]), False, 0.7)
-    assert {p for p in want if p[0] < half <= p[1]} <= {(i, j + half) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+    order = np.array([k for i in range(30) for k in (i, 30 + 3 * i, 31 + 3 * i, 32 + 3 * i)])
+    bits = np.stack([np.frombuffer(neardup.bitmap(sets[i], neardup.NODE_BITS), np.uint64) for i in order])
+    for place in (np.zeros(len(sets), int), np.arange(len(sets)) // 40):
+        tree = neardup.Tree(bits, size[order], place)
+        a, b, told = tree.matches(0.7)
+        found = {(min(x, y), max(x, y)) for x, y in zip(order[a].tolist(), order[b].tolist(), strict=True)}
+        where = dict(zip(order.tolist(), place.tolist(), strict=True))
+        assert {(i, j) for i, j in want if where[i] == where[j]} <= found and all(where[i] == where[j] for i, j in found)
+        assert len(tree.levels) == 5 and len(found) == len(a) and told[-1][2] < len(sets) * (len(sets) - 1) / 6
+        assert any(followed < met / 2 for level, met, _, followed in told if level)
+
+
+def test_bitmaps_of_all_widths_bound_the_overlap(spark):
+    """Texts of very different lengths in one place: the narrower bitmap decides."""
+    rows, rng = [], random.Random(11)
+    for n in (30, 45, 60, 400, 500, 3_000):
+        words = [f"a{rng.randint(0, 1 << 30)}" for _ in range(n)]
+        for i in range(4):
+            w = list(words)
+            for _ in range(i * n // 60):
+                w[rng.randrange(n)] = f"b{rng.randint(0, 1 << 30)}"
+            rows.append((len(rows), None, " ".join(w)))
+    df = spark.createDataFrame(rows, "chunk_id long, signature string, content string")
+    sets = {i: set(neardup.shingle_set(f"\n{c}", 3, {}).tolist()) for i, _, c in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and min(len(sets[a]), len(sets[b])) >= 25 and _jaccard(sets[a], sets[b]) >= 0.7}
+    assert set(map(tuple, neardup.near_duplicate_chunks(df).collect())) == want and len(want) > 20
+    told = neardup.traversal_counts(neardup.signed_records(df, neardup.chunk_text())).collect()
+    assert {r["level"] for r in told} >= {0, 1} and all(r["followed"] <= r["tested"] <= r["met"] for r in told)
 
 
 def measured_recall(found, x, ids, k, least):
