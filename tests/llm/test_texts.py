@@ -156,6 +156,27 @@ def test_sentences_hold_all_characters(spark):
         assert re.sub(r"\s", "", text[: ends[-1]]) == re.sub(r"\s", "", text)
 
 
+def test_the_score_decides(monkeypatch):
+    """Candidates in the same contexts: the score tells them; no limit on lengths of names, gaps and keys does."""
+    path = rank_file("byte_bpe_50k", None)
+    found = lambda text: [text[s:e] for s, e in secrets.find_secrets(text, path)]
+    long_name, long_key = "very_" * 30 + "long_api_key", (KEY + "\n") * 400
+    kept = {
+        f'{long_name} = "{KEY}"': KEY, f'api_key{" " * 300}= "{KEY}"': KEY, "// login admin / TallyCluster@89": "TallyCluster@89", "# pw for staging is river-67-grain": "river-67-grain",
+        "// contraseña = 38Dune#Region": "38Dune#Region", "// curl -u stamp:Sample!Segment90 https://x.example/": "Sample!Segment90",
+    }
+    for text, value in kept.items():
+        assert found(text) == [value]
+    block = f"-----BEGIN PRIVATE KEY-----\n{long_key}-----END PRIVATE KEY-----"
+    assert found(f"x = `{block}`; y = 1") == [block]
+    words = ['token = "partner-token"', 'client_secret = "REPLACE_ME"', 'api_key = "YOUR_TOKEN_HERE"', "// login page of version-2024-03 is slow", "# the password has 12 characters, see notes.txt"]
+    assert not any(map(found, words))
+    monkeypatch.setattr(secrets, "LIMITS", dict.fromkeys(secrets.LIMITS, 1e9))
+    assert all(map(found, words[:3]))
+    monkeypatch.setattr(secrets, "LIMITS", dict.fromkeys(secrets.LIMITS, 0.0))
+    assert not any(map(found, [*kept, block]))
+
+
 def test_filters_before_the_rules_lose_no_secrets():
     path = rank_file("byte_bpe_50k", None)
     long = "aZ3kQ9" * 700
