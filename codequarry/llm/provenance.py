@@ -1,11 +1,18 @@
 """Files that nobody on the project wrote by hand (problem 2).
 
-A file is generated, minified, vendored or a data blob. Evidence is in its path, in
-the comments before the first and after the last code of any of its chunks, in the
-shape of its text, and in its fingerprints: token streams are normalized (numbers and strings become
-one token each), k-grams are hashed, and winnowing keeps the smallest hash of each
-window. A file most of whose fingerprints recur in many unrelated repositories is a
-vendored copy. Hot fingerprints are counted per repository before they meet.
+A file is vendored, generated, minified or a data blob.
+
+Vendored copies are found by winnowing: token streams are normalized (names of
+projects, numbers and strings become one token each), k-grams are hashed, and the
+smallest hash of each window is kept. A fingerprint is widespread if it comes from
+many unrelated owners. There are two kinds of streams. Of code, the owner is the
+repository of the path; a file most of whose fingerprints are widespread is a copy.
+Of notices, that is comment lines before the first or after the last code that name a
+project with a version or a year, the owner is the project named: what copies of many
+projects say alike is a copy's notice, while the own licence header, in however many
+files, names one project only. No list of phrases takes part in it.
+
+Other evidence is in the path, in generators' remarks, and in the shape of the text.
 """
 
 from __future__ import annotations
@@ -20,15 +27,17 @@ from pyspark.sql import functions as F
 
 from codequarry.session import staged
 
-#: Tokens of a k-gram, and k-grams of a window of which one hash is kept.
-GRAM, WINDOW = 12, 16
-#: A fingerprint is widespread from so many repositories on; a file is a copy if it has at least so many fingerprints and this share of them is widespread.
-REPOSITORIES, FINGERPRINTS, SHARE = 8, 8, 0.8
+#: Tokens of a k-gram, and k-grams of a window of which one hash is kept, in code and in notices (which are short, so all are kept).
+GRAM, WINDOW = 12, 32
+NOTICE_GRAM, NOTICE_WINDOW = 4, 1
+#: A fingerprint is widespread from so many owners on; a file is a copy if it has at least so many fingerprints of code and this share of them, or of those of one of its notices, is widespread.
+OWNERS, FINGERPRINTS, SHARE = 8, 8, 0.8
+#: Owners of a fingerprint are counted in a bitmap of so many bits, which tells at least how many there are.
+OWNER_BITS = 64
+#: Widespread fingerprints are sent to all tasks up to this number; more of them are joined by a shuffle, hot ones cut in so many parts.
+MOST_SENT, SALTS = 100_000, 16
 #: Characters of data, and their share of a chunk, that make a blob.
 BLOB_CHARS, BLOB_SHARE = 1_500, 0.5
-#: The project's own name in licence headers.
-OWN = "codelantern"
-
 # Folders and names that tools give to their output, and folders that hold other projects.
 PATHS = {
     "generated": r"(?i)(?:^|/)(?:generated|__generated__|autogen|auto_generated|gen|\.gen|gensrc|generated[-_]sources?)/|\.(?:pb|gen|g|generated|designer|grpc|auto)\.[a-z]+$|[_-](?:generated|pb2(?:_grpc)?|gen)\.[a-z]+$|\.pb\.[a-z]+\.[a-z]+$",
@@ -44,17 +53,16 @@ _GENERATED = re.compile(
     re.I,
 )
 _NOT_GENERATED = re.compile(r"used to be|no longer|kept by hand|written by hand|hand-?written|maintained by hand|never edit generated|generated files by hand|files? that (?:are|were)|method stub|\bskip\b|\bignore\b|instead of|unlike|\bnot (?:auto-?)?generated|\bif generated", re.I)
-_VENDORED = re.compile(
-    r"\bvendored (?:copy|from|version)|^third[- ]party:|\bmirrored for\b|\btaken (?:unchanged|verbatim|as is)\b.{0,10}from|\b(?:copied|imported|taken|forked) (?:verbatim |unchanged |as is )?from (?:https?:|[A-Z]\w+ v?\d)|\bupstream (?:revision|licen[cs]e|commit|version)\b|\bredistribution and use in source\b|\bpermission is hereby granted\b|\bwithout warranty of any kind\b|"
-    r"\breleased under (?:a|an|the) [\w -]{0,30}licen[cs]e|\blicensed under (?:the )?(?:apache|mit|bsd|isc|mozilla|gnu|l?gpl|mpl|zlib|unlicense|boost)|\b(?:MIT|Apache|BSD|ISC|MPL) licen[cs]e\b|\bspdx-license-identifier:",
-    re.I,
-)
-_RIGHTS = re.compile(r"(?:\bcopyright\b|©|\(c\))\s*(?:\(c\)|©)?\s*(?:\d{4}|[A-Z])|\(c\) \d{4}", re.I)
-_NOT_VENDORED = re.compile(r"\bskip\b|idea borrowed|inspired by|rewritten|based on the idea|\bignore\b|\bignores\b", re.I)
 _NUMBERS = r"(?:(?:0x[0-9A-Fa-f]+|-?\d+(?:\.\d+)?(?:e-?\d+)?f?)\s*,\s*){8,}"
 _STRINGS = r"(?:[\"'][A-Za-z0-9+/=_\-]{32,}[\"']\s*\)?\s*[,;]?\s*\(?\s*){3,}"
 _RECORDS = r"(?:^[ \t]*[\[{(][^\n]{10,400}[\]})][,;]?[ \t]*\r?\n?){8,}"
 _DATA = re.compile(f"{_NUMBERS}|{_STRINGS}|{_RECORDS}", re.M)
+_VERSION = r"v?\d+(?:\.\d+)+[\w.\-]*"
+_YEARS = r"(?:19|20)\d\d(?:\s*[-–,]\s*(?:(?:19|20)\d\d|present))*"
+# A project with a version, or with the years of its rights.
+_ATTRIBUTION = re.compile(rf"(?P<name>[A-Z][\w+\-]*\w)[ ,]*[ @]\s*{_VERSION}|(?P<package>[\w./\-]+)@{_VERSION}|(?:©|\([cC]\)|\b[Cc]opyright\b|\bCOPYRIGHT\b)[\s:,]*(?:©|\([cC]\))?\s*{_YEARS},?\s+(?:by\s+|the\s+)*(?P<holder>[A-Z]\w+)")
+_NUMBER = re.compile(r"\bv?\d[\w.\-]*|\b[0-9a-f]*\d[0-9a-f]*\b")
+_DIGIT = re.compile(r"\d")
 _LEXEME = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|\d[\w.]*|[A-Za-z_]\w*|[^\w\s]")
 
 
@@ -85,17 +93,12 @@ def footer(text: str) -> list[str]:
     return out
 
 
-def text_evidence(text: str) -> list[str]:
-    """``generated``, ``minified``, ``vendored`` and ``data``, as far as the content of a chunk shows them."""
+def text_evidence(text: str, remarks: list[str]) -> list[str]:
+    """``generated``, ``minified`` and ``data``, as far as the content of a chunk and its remarks (header and footer) show them."""
     found = set()
-    lines = header(text) + footer(text)
-    own = any(OWN in x.lower() for x in lines)
-    for line in lines:
+    for line in remarks:
         if _GENERATED.search(line) and not _NOT_GENERATED.search(line):
             found.add("generated")
-        foreign = _VENDORED.search(line) or (_RIGHTS.search(line) and not own)
-        if foreign and OWN not in line.lower() and not _NOT_VENDORED.search(line):
-            found.add("vendored")
     if len(text) > 250:
         for line in text.split("\n") if "\n" in text else (text,):
             if len(line) >= 280:
@@ -111,68 +114,131 @@ def text_evidence(text: str) -> list[str]:
     return sorted(found)
 
 
-def fingerprints(text: str) -> np.ndarray:
-    """The winnowed fingerprints of a normalized token stream."""
+def winnowed(tokens: list[bytes], gram: int, window: int, seed: int = 0, words: np.ndarray | None = None) -> np.ndarray:
+    """The winnowed hashes of the k-grams of a token stream; one shorter than a k-gram has none. With ``words``, k-grams of which less than a quarter is words are left out: numbers and strings say nothing of their origin."""
     import zlib
 
-    kinds = {'"': b"S", "'": b"S"}
-    hashes = np.array([zlib.crc32(kinds.get(t[0]) or (b"N" if t[0].isdigit() else t.encode())) for t in _LEXEME.findall(text)], np.uint64)
-    n = len(hashes) - GRAM + 1
+    n = len(tokens) - gram + 1
     if n < 1:
         return np.empty(0, np.int64)
+    hashes = np.array([zlib.crc32(t, seed) for t in tokens], np.uint64)
     grams = np.zeros(n, np.uint64)
-    for i in range(GRAM):
+    for i in range(gram):
         grams = grams * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + n]
     grams ^= grams >> np.uint64(29)
     grams = grams * np.uint64(0xBF58476D1CE4E5B9)
     grams ^= grams >> np.uint64(32)
-    if n > WINDOW:
-        grams = np.lib.stride_tricks.sliding_window_view(grams, WINDOW).min(1)
-    return np.unique(grams).view(np.int64)
+    none = np.uint64(0xFFFFFFFFFFFFFFFF)
+    if words is not None:
+        sums = np.cumsum(np.r_[0, words])
+        grams[sums[gram:] - sums[:-gram] < gram // 4] = none
+    grams = np.lib.stride_tricks.sliding_window_view(grams, min(window, n)).min(1)
+    kept = np.unique(grams)
+    return kept[kept != none].view(np.int64)
+
+
+def fingerprints(text: str) -> np.ndarray:
+    """The winnowed fingerprints of the code."""
+    kinds = {'"': b"S", "'": b"S"}
+    found = _LEXEME.findall(text)
+    tokens = [kinds.get(t[0]) or (b"N" if t[0].isdigit() else t.encode("utf-8", "surrogatepass")) for t in found]
+    return winnowed(tokens, GRAM, WINDOW, 0, np.array([t[0].isalpha() or t[0] == "_" for t in found], bool))
+
+
+def notices(remarks: list[str]) -> list[tuple[str, str, np.ndarray]]:
+    """``line, project, fingerprints`` of the remarks that name a project with a version or a year; in the normalized line the names are one token."""
+    out = []
+    for line in remarks:
+        if not _DIGIT.search(line):
+            continue
+        names = {n for m in _ATTRIBUTION.finditer(line) for n in m.groups() if n}
+        if not names:
+            continue
+        plain = line
+        for n in sorted(names, key=len, reverse=True):
+            plain = re.sub(re.escape(n), "\0", plain, flags=re.I)
+        plain = " ".join(re.findall(r"\0|\w+|[^\w\s]", _NUMBER.sub("0", plain).lower()))
+        # Marks of its ends, so that the first and last words weigh as much as the others.
+        ends = [b"\n"] * (NOTICE_GRAM - 1)
+        prints = winnowed([*ends, *(t.encode() for t in plain.split()), *ends], NOTICE_GRAM, NOTICE_WINDOW, 1)
+        out += [(plain, n.lower(), prints) for n in names]
+    return out
+
+
+_SEEN = "file_path string, evidence array<string>, prints array<long>, notices array<struct<line: long, size: int, owner: long, prints: array<long>>>"
 
 
 def _inspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import xxhash
+
+    def number(x: str) -> int:
+        return int(np.uint64(xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass"))).view(np.int64))
+
+    notice = pa.list_(pa.struct([("line", pa.int64()), ("size", pa.int32()), ("owner", pa.int64()), ("prints", pa.list_(pa.int64()))]))
     for b in batches:
-        evidence, prints = [], []
+        evidence, prints, told = [], [], []
         for text in b.column("content").to_pylist():
-            evidence.append(text_evidence(text or ""))
-            prints.append(fingerprints(text or ""))
+            text = text or ""
+            remarks = header(text) + footer(text)
+            evidence.append(text_evidence(text, remarks))
+            prints.append(fingerprints(text))
+            told.append([{"line": number(line), "size": len(p), "owner": number(owner), "prints": p.tolist()} for line, owner, p in notices(remarks)])
         sizes = np.cumsum([0, *map(len, prints)]).astype(np.int32)
         flat = np.concatenate([*prints, np.empty(0, np.int64)])
         yield pa.RecordBatch.from_arrays(
-            [b.column("file_path"), pa.array(evidence, pa.list_(pa.string())), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat, pa.int64()))],
-            ["file_path", "evidence", "prints"],
+            [b.column("file_path"), pa.array(evidence, pa.list_(pa.string())), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat, pa.int64())), pa.array(told, notice)],
+            ["file_path", "evidence", "prints", "notices"],
         )
 
 
 def repository(path: Column) -> Column:
-    """The repository a path belongs to: of a library folder the library, else the folder two below the root, or one if there are no two."""
-    library = F.regexp_extract(path, r"(?i)(?:^|/)((?:vendor|node_modules|third[_-]?party|external|deps)/[^/]+)/", 1)
-    parts = F.split(path, "/")
-    return F.when(library != "", library).otherwise(F.concat_ws("/", F.slice(parts, 1, F.least(F.lit(2), F.greatest(F.lit(1), F.size(parts) - 1)))))
+    """The repository that a path belongs to: its first two folders, or fewer if there are not so many, or those before a library folder, whatever library it holds."""
+    outside = F.regexp_replace(path, r"(?i)(?:^|/)(?:vendor|node_modules|bower_components|third[_-]?party|external|deps|site-packages)/.*$", "/")
+    parts = F.split(outside, "/")
+    return F.concat_ws("/", F.slice(parts, 1, F.least(F.lit(2), F.greatest(F.lit(1), F.size(parts) - 1))))
+
+
+def _widespread(prints: DataFrame) -> DataFrame:
+    """The fingerprints of ``print, owner`` that have at least ``OWNERS`` owners. Owners become one bit each before the shuffle, so a hot fingerprint is one row a task."""
+    bit = F.expr(f"shiftleft(1L, cast(pmod(owner, {OWNER_BITS}) as int))")
+    return prints.groupBy("print").agg(F.bit_or(bit).alias("owners")).filter(F.bit_count("owners") >= OWNERS).select("print")
+
+
+def _marked(rows: DataFrame, wide: DataFrame, many: int) -> DataFrame:
+    """The rows whose ``print`` is widespread."""
+    if many <= MOST_SENT:
+        return rows.join(F.broadcast(wide), "print", "left_semi")
+    salted = wide.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("file_path", F.lit(7)), F.lit(SALTS)).cast("int")).join(salted, ["print", "salt"], "left_semi").drop("salt")
+
+
+def copied_files(seen: DataFrame) -> DataFrame:
+    """``file_path, widespread, rule`` of the files that are copies by their fingerprints: ``code`` or ``notice``, and the share of fingerprints that is widespread."""
+    code = seen.select("file_path", F.xxhash64(repository(F.col("file_path"))).alias("owner"), F.explode("prints").alias("print"))
+    told = seen.select("file_path", F.explode("notices").alias("n")).select("file_path", "n.line", "n.size", "n.owner", F.explode("n.prints").alias("print"))
+    wide = staged(_widespread(code.select("print", "owner").unionByName(told.select("print", "owner"))), "widespread")
+    many = wide.count()
+    shared = _marked(code.select("file_path", "print"), wide, many).groupBy("file_path").agg(F.count("*").alias("wide"))
+    sizes = seen.filter(F.size("prints") > 0).groupBy("file_path").agg(F.sum(F.size("prints")).alias("all"))
+    by_code = sizes.filter(F.col("all") >= FINGERPRINTS).join(shared, "file_path").select("file_path", (F.col("wide") / F.col("all")).alias("widespread"), F.lit("code").alias("rule"))
+    lines = _marked(told.dropDuplicates(["file_path", "line", "print"]), wide, many).groupBy("file_path", "line", "size").agg(F.count("*").alias("wide"))
+    by_notice = lines.groupBy("file_path").agg(F.max(F.col("wide") / F.col("size")).alias("widespread")).withColumn("rule", F.lit("notice"))
+    return by_code.unionByName(by_notice).filter(F.col("widespread") >= SHARE)
 
 
-def file_evidence(chunks: DataFrame) -> DataFrame:
-    """``file_path, reasons, widespread``: every file with evidence, why, and the share of its fingerprints that is widespread.
+def file_evidence(chunks: DataFrame, by_path: bool = True) -> DataFrame:
+    """``file_path, reasons, rules``: every file with evidence, why, and the rules that found it: ``code`` and ``notice`` (fingerprints), ``text`` and ``path``.
 
     Null paths are left out; a null content holds no evidence. Repeated rows change
-    nothing. Other columns are ignored.
+    nothing. Other columns are ignored. Without ``by_path`` only contents count.
     """
     rows = chunks.select("file_path", "content").filter(F.col("file_path").isNotNull())
-    # Read three times below; the inspection of the texts is by far the dearest step.
-    seen = staged(rows.mapInArrow(_inspect, "file_path string, evidence array<string>, prints array<long>"), "inspected")
-    by_text = seen.select("file_path", F.explode("evidence").alias("reason")).distinct()
-    by_path = rows.select("file_path").distinct()
-    by_path = by_path.select("file_path", F.explode(F.array_compact(F.array(*(F.when(F.col("file_path").rlike(p), F.lit(r)) for r, p in PATHS.items())))).alias("reason"))
-
-    prints = seen.select("file_path", F.explode("prints").alias("print")).distinct()
-    # A print counts once a repository; partial aggregation meets hot prints before the shuffle.
-    spread = prints.select("print", repository(F.col("file_path")).alias("repo")).distinct().groupBy("print").agg(F.count("*").alias("repos"))
-    wide = spread.filter(F.col("repos") >= REPOSITORIES).select("print")
-    shared = prints.join(wide, "print", "left_semi").groupBy("file_path").agg(F.count("*").alias("wide"))
-    sizes = prints.groupBy("file_path").agg(F.count("*").alias("all"))
-    copies = sizes.join(shared, "file_path").select("file_path", "all", (F.col("wide") / F.col("all")).alias("widespread"))
-    by_print = copies.filter((F.col("all") >= FINGERPRINTS) & (F.col("widespread") >= SHARE)).select("file_path", F.lit("vendored").alias("reason"))
-
-    reasons = by_text.unionByName(by_path).unionByName(by_print).groupBy("file_path").agg(F.sort_array(F.collect_set("reason")).alias("reasons"))
-    return reasons.join(copies.select("file_path", "widespread"), "file_path", "left").withColumn("widespread", F.coalesce("widespread", F.lit(0.0)))
+    # Read several times below; the inspection of the texts is by far the dearest step.
+    seen = staged(rows.mapInArrow(_inspect, _SEEN), "inspected")
+    reason = lambda r, rule: F.struct(r.alias("reason"), F.lit(rule).alias("rule"))
+    told = F.transform("evidence", lambda e: reason(e, "text"))
+    if by_path:
+        told = F.concat(told, F.array_compact(F.array(*(F.when(F.col("file_path").rlike(p), reason(F.lit(r), "path")) for r, p in PATHS.items()))))
+    found = seen.select("file_path", F.explode(told).alias("r")).select("file_path", "r.*")
+    found = found.unionByName(copied_files(seen).select("file_path", F.lit("vendored").alias("reason"), "rule"))
+    return found.groupBy("file_path").agg(F.sort_array(F.collect_set("reason")).alias("reasons"), F.sort_array(F.collect_set("rule")).alias("rules"))

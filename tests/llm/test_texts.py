@@ -59,8 +59,8 @@ NUMBERS = "export const t = [\n" + "  0x01, 0x02, 0x03, 0x04, 0x05, 0x06, 0x07,
     [
         ("a/x.pb.go", BODY, ["generated"]), ("a/generated/x.ts", BODY, ["generated"]), ("a/generators/x.ts", BODY, None), ("a/x.min.js", BODY, ["minified"]), ("node_modules/l/x.js", BODY, ["vendored"]), ("a/vendors/x.js", BODY, None),
         ("a/x.ts", "// Code generated by tool. DO NOT EDIT.\n" + BODY, ["generated"]), ("a/x.ts", BODY + "// 자동 생성된 파일입니다. 직접 수정하지 마세요.\n", ["generated"]), ("a/x.ts", "// this list used to be auto-generated, it is kept by hand\n" + BODY, None),
-        ("a/x.ts", 'const banner = "Code generated by this tool. DO NOT EDIT.";\n' + BODY, None), ("a/x.ts", "// Vendored copy of LibKit 1.2.3; upstream licence below.\n" + BODY, ["vendored"]), ("a/x.ts", "// Copyright 2020 Codelantern maintainers.\n" + BODY, None),
-        ("a/x.ts", "// (c) 2012 the StockJS authors\n" + BODY, ["vendored"]), ("a/x.ts", "// idea borrowed from StockJS, rewritten for this case\n" + BODY, None), ("a/x.ts", "!function(e,t){" + 'for(var a=0;b<c.length;d++)e[f]="g";' * 12, ["minified"]),
+        ("a/x.ts", 'const banner = "Code generated by this tool. DO NOT EDIT.";\n' + BODY, None), ("a/x.ts", "// Vendored copy of LibKit 1.2.3; upstream licence below.\n" + BODY, None), ("a/x.ts", "// Copyright 2020 Codelantern maintainers.\n" + BODY, None),
+        ("a/x.ts", "// idea borrowed from StockJS, rewritten for this case\n" + BODY, None), ("a/x.ts", "!function(e,t){" + 'for(var a=0;b<c.length;d++)e[f]="g";' * 12, ["minified"]),
         ("a/x.ts", NUMBERS, ["data"]), ("a/x.ts", BODY + '  const t = "' + "44, 80, " * 100 + '";\n', None), ("a/x.ts", None, None), ("a/x.ts", "", None), (None, NUMBERS, None),
     ],
 )
@@ -70,11 +70,31 @@ def test_provenance(spark, path, content, reasons):
     assert [r["reasons"] for r in got] == ([reasons] if reasons else [])
 
 
-def test_widespread_copies(spark):
+@pytest.mark.parametrize("sent", [100_000, 0])
+def test_widespread_copies(spark, monkeypatch, sent):
+    monkeypatch.setattr(provenance, "MOST_SENT", sent)
     text = "\n".join(f"export function name{i}(alpha{i}) {{ return alpha{i}.beta{i}(gamma{i}, {i}); }}" for i in range(60))
-    rows = [chunk(i, text, path=f"repo{i}/lib/a.ts") for i in range(provenance.REPOSITORIES)] + [chunk(99, text.replace("name", "other").replace("alpha", "own"), path="repo0/own/b.ts")]
-    got = {r["file_path"]: r for r in provenance.file_evidence(spark.createDataFrame(rows, CHUNKS)).collect()}
-    assert set(got) == {f"repo{i}/lib/a.ts" for i in range(provenance.REPOSITORIES)} and got["repo0/lib/a.ts"]["widespread"] == 1.0
+    n = 3 * provenance.OWNERS
+    rows = [chunk(i, text, path=f"repo{i}/lib/a.ts") for i in range(n)] + [chunk(99, text.replace("name", "other").replace("alpha", "own"), path="repo0/own/b.ts")]
+    # Many files of one repository are no unrelated owners, whatever library folders they lie in.
+    rows += [chunk(100 + i, text.replace("beta", "inner"), path=f"one/pkg/extern/lib{i}/a.ts") for i in range(n)]
+    got = {r["file_path"]: r for r in provenance.file_evidence(spark.createDataFrame(rows, CHUNKS), by_path=False).collect()}
+    assert set(got) == {f"repo{i}/lib/a.ts" for i in range(n)} and got["repo0/lib/a.ts"]["rules"] == ["code"]
+    seen = spark.createDataFrame(rows, CHUNKS).select("file_path", "content").mapInArrow(provenance._inspect, provenance._SEEN)
+    assert {r["widespread"] for r in provenance.copied_files(seen).collect()} == {1.0}
+
+
+@pytest.mark.parametrize("sent", [100_000, 0])
+def test_notices_of_many_projects(spark, monkeypatch, sent):
+    """What copies of many projects say is a copy's notice; what a project says of itself in many files is none."""
+    monkeypatch.setattr(provenance, "MOST_SENT", sent)
+    forms = ["// Bundled with {} 1.{}.0, see its licence", "# Copyright (c) 20{1:02d} {0} contributors.", "// from {}@{}.2.1 (pinned)"]
+    rows = [chunk(100 * f + i, form.format(f"Lib{chr(65 + i)}x", i) + "\n" + BODY, path=f"src/f{f}_{i}.ts") for f, form in enumerate(forms) for i in range(3 * provenance.OWNERS)]
+    own = ["// Copyright (c) 2024-2025 Homeproject maintainers", "// Copyright 2025 Homeproject maintainers. All rights reserved.", "// Waits for 55 Blocks of version 1.2"]
+    rows += [chunk(1_000 + i, own[i % 3] + "\n" + BODY, path=f"pkg{i}/own/f.ts") for i in range(60)]
+    rows += [chunk(2_000, None, path="src/none.ts"), chunk(2_001, "// Lib 1.2", path=None)]
+    got = {r["file_path"]: r["rules"] for r in provenance.file_evidence(spark.createDataFrame(rows, CHUNKS)).collect()}
+    assert set(got) == {f"src/f{f}_{i}.ts" for f in range(3) for i in range(3 * provenance.OWNERS)} and set(map(tuple, got.values())) == {("notice",)}
     assert provenance.file_evidence(spark.createDataFrame([], CHUNKS)).count() == 0
 
 
