@@ -1,9 +1,10 @@
 """Encoding a corpus with a public tokenizer through a distinct-word table (problem 8).
 
-Spark splits the texts into words by the tokenizer's own pattern, each distinct
-word is encoded once, and the ids are joined back by position. Words that occur
-very often would make hot join keys: the ``HOT_WORDS`` most frequent ones, a fixed
-number that does not grow with the corpus, are joined by broadcast instead.
+Spark splits the texts into words by the tokenizer's own pattern, and each distinct
+word of the corpus is encoded once. The ids come back by batches of documents: a
+batch asks for each of its distinct words once, however often it occurs there, joins
+the word table on the word, and puts the ids of its documents together by position.
+A frequent word is thus a row a batch, not a row an occurrence.
 """
 
 from __future__ import annotations
@@ -13,16 +14,20 @@ import os
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Where the vocabulary files lie, unless a call says otherwise.
 TOKENIZERS = os.environ.get("CODEQUARRY_TOKENIZERS", "/opt/tokenizers")
 #: The published pre-tokenization pattern of the byte-level vocabularies (fixed value).
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Number of words joined by broadcast: at most this many rows of a word and its few ids.
-HOT_WORDS = 20_000
+#: Characters of a batch of documents; a small corpus is cut finer, but into no less than ``LEAST_CHARS`` each.
+BATCH_CHARS, LEAST_CHARS = 1 << 24, 1 << 20
+#: Ids that occur more than once are sent to all tasks up to this number; more of them are joined by a shuffle.
+MOST_SENT = 100_000
 
 
 @lru_cache(maxsize=4)
@@ -39,31 +44,75 @@ def rank_file(vocabulary: str, folder: str | None = None) -> str:
     return f"{folder or TOKENIZERS}/{vocabulary}.tiktoken"
 
 
-def _words(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, pos, word``: ``(?U)`` gives white space its Unicode meaning, as the tokenizer's pattern has it."""
-    pattern = F.lit("(?U)" + WORD_PATTERN)
-    return texts.select(F.col(id_col).alias("id"), F.posexplode(F.regexp_extract_all(F.col(text_col), pattern, 0)).alias("pos", "word"))
+def _split(text: Column) -> Column:
+    """The words of a text: ``(?U)`` gives white space its Unicode meaning, as the tokenizer's pattern has it."""
+    return F.regexp_extract_all(text, F.lit("(?U)" + WORD_PATTERN), F.lit(0))
 
 
-def word_table(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
-    """``word, n, ids`` of each distinct word of the texts: its number of occurrences and its token ids."""
+def word_table(words: DataFrame, vocabulary: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
+    """``word, ids`` of each distinct ``word``: its token ids."""
     path = rank_file(vocabulary, folder)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoding(path)
         for b in batches:
-            yield pd.DataFrame({"word": b["word"], "n": b["n"], "ids": [enc.encode_ordinary(w) for w in b["word"]]})
+            yield pd.DataFrame({"word": b["word"], "ids": [enc.encode_ordinary(w) for w in b["word"]]})
 
-    counts = _words(texts, id_col, text_col).groupBy("word").agg(F.count("*").alias("n"))
-    return counts.mapInPandas(encode, "word string, n long, ids array<int>")
+    return words.select("word").distinct().mapInPandas(encode, "word string, ids array<int>")
 
 
-def _looked_up(words: DataFrame, table: DataFrame, value: str) -> DataFrame:
-    """``words`` with the column ``value`` of their words: hot words by broadcast, all others by a shuffle on the word, whose keys are then all rare."""
-    hot = F.broadcast(table.orderBy(F.desc("n"), "word").limit(HOT_WORDS).select("word", value))
-    often = words.join(hot, "word")
-    rare = words.join(hot.select("word"), "word", "left_anti").join(table.select("word", value), "word")
-    return often.unionByName(rare)
+def _once(texts: DataFrame) -> DataFrame:
+    """``id, text`` with each id once, the greatest text. Only texts of ids that occur again are shuffled for it."""
+    from codequarry.session import staged
+
+    again = staged(texts.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"), "again")
+    many = again.count()
+    if not many:
+        return texts
+    side = F.broadcast(again) if many <= MOST_SENT else again
+    same = texts["id"].eqNullSafe(side["id"])
+    return texts.join(side, same, "left_anti").unionByName(texts.join(side, same, "left_semi").groupBy("id").agg(F.max("text").alias("text")))
+
+
+def _assemble(counts: bool):
+    """Grouped Arrow function over a batch: its documents with the lengths of their words, and the ids of its distinct words."""
+
+    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
+        ids = words["ids"].combine_chunks() if words.num_rows else pa.array([], pa.list_(pa.int32()))
+        place = {w: i for i, w in enumerate(words["word"].to_pylist())}
+        sizes = np.asarray(pa.compute.list_value_length(ids), np.int64)
+        flat, starts = np.asarray(ids.flatten(), np.int32), np.cumsum(sizes) - sizes
+        found, at_doc = [], [0]
+        for text, lengths in zip(docs["text"].to_pylist(), docs["lengths"].to_pylist(), strict=True):
+            at = 0
+            for n in lengths or ():
+                found.append(place[text[at : at + n]])
+                at += n
+            at_doc.append(len(found))
+        rows = np.array(found, np.int64)
+        # The ids of all words in a row: each word's run of ids, one after the other.
+        per = sizes[rows]
+        ends = np.r_[0, np.cumsum(per)]
+        at_doc = ends[np.array(at_doc)]
+        if counts:
+            return pa.table({"id": docs["id"], "tokens": pa.array(np.diff(at_doc))})
+        every = np.repeat(starts[rows] - ends[:-1], per) + np.arange(ends[-1]) if len(rows) else np.empty(0, np.int64)
+        return pa.table({"id": docs["id"], "ids": pa.ListArray.from_arrays(pa.array(at_doc.astype(np.int32)), pa.array(flat[every], pa.int32()))})
+
+    return run
+
+
+def _encoded(texts: DataFrame, id_col: str, text_col: str, vocabulary: str, folder: str | None, counts: bool) -> DataFrame:
+    docs = _once(texts.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
+    size = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).head()["n"]
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    batches = max(1, -(-size // BATCH_CHARS), min(tasks, size // LEAST_CHARS))
+    docs = docs.withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int"))
+    asked = docs.select(F.col("batch").alias("part"), F.explode(F.array_distinct(_split(F.col("text")))).alias("word")).distinct()
+    known = asked.join(word_table(asked, vocabulary, folder), "word")
+    own = docs.select("batch", "id", "text", F.transform(_split(F.col("text")), F.length).alias("lengths"))
+    schema = "id long, tokens long" if counts else "id long, ids array<int>"
+    return own.groupBy("batch").cogroup(known.groupBy("part")).applyInArrow(_assemble(counts), schema)
 
 
 def encode_corpus(
@@ -74,28 +123,14 @@ def encode_corpus(
     Null and empty texts have an empty list. Rows that repeat an id count once (the
     greatest text). A null id is an id of its own. Other columns are ignored.
     """
-    from codequarry.session import staged
-
-    one = texts.groupBy(F.col(id_col).alias("id")).agg(F.max(text_col).alias("text"))
-    table = staged(word_table(one, "id", "text", vocabulary, folder), "words")
-    found = _looked_up(_words(one, "id", "text"), table, "ids")
-    empty = one.filter(F.coalesce(F.length("text"), F.lit(0)) == 0).select("id", F.lit(0).alias("pos"), F.lit(None).cast("array<int>").alias("ids"))
-    at = F.struct("pos", "ids")
-    joined = found.select("id", "pos", "ids").unionByName(empty).groupBy("id").agg(F.sort_array(F.collect_list(at)).alias("parts"))
-    ids = F.flatten(F.transform(F.col("parts"), lambda p: F.coalesce(p["ids"], F.array().cast("array<int>"))))
-    return joined.select(F.col("id").alias(id_col), ids.alias("ids"))
+    return _encoded(texts, id_col, text_col, vocabulary, folder, False).withColumnRenamed("id", id_col)
 
 
 def token_counts(
     texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k", folder: str | None = None
 ) -> DataFrame:
-    """``id_col, tokens``: the number of tokens of each text; 0 for null and empty ones."""
-    from codequarry.session import staged
-
-    table = word_table(texts, id_col, text_col, vocabulary, folder).select("word", "n", F.size("ids").cast("long").alias("tokens"))
-    found = _looked_up(_words(texts, id_col, text_col), staged(table, "words"), "tokens").select("id", "tokens")
-    none = texts.filter(F.coalesce(F.length(text_col), F.lit(0)) == 0).select(F.col(id_col).alias("id"), F.lit(0).cast("long").alias("tokens"))
-    return found.unionByName(none).groupBy("id").agg(F.sum("tokens").alias("tokens")).withColumnRenamed("id", id_col)
+    """``id_col, tokens``: the number of tokens of each text; 0 for null and empty ones. Ids count once, as in ``encode_corpus``."""
+    return _encoded(texts, id_col, text_col, vocabulary, folder, True).withColumnRenamed("id", id_col)
 
 
 def piece_table(spark: SparkSession, vocabulary: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:

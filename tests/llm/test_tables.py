@@ -57,11 +57,18 @@ def test_encoding_round_trip(spark):
     assert tokens.encode_corpus(df.limit(0)).count() == 0
 
 
-def test_encoding_without_broadcast_words(spark, monkeypatch):
-    monkeypatch.setattr(tokens, "HOT_WORDS", 2)
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
+@pytest.mark.parametrize("sent", [100_000, 0])
+def test_encoding_in_many_batches(spark, monkeypatch, sent):
+    monkeypatch.setattr(tokens, "BATCH_CHARS", 40)
+    monkeypatch.setattr(tokens, "MOST_SENT", sent)
+    rows = [(i, t) for i, t in enumerate(TEXTS * 3)] + [(None, "no id"), (None, None), (0, None), (1, ""), (2, "a"), (2, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {}
+    for i, t in rows:
+        want[i] = max(want.get(i) or "", t or "")
     enc = tokens.encoding(tokens.rank_file("byte_bpe_50k"))
-    assert {r["doc_id"]: r["ids"] for r in tokens.encode_corpus(df).collect()} == {i: enc.encode_ordinary(t or "") for i, t in enumerate(TEXTS)}
+    got = tokens.encode_corpus(df).collect()
+    assert len(got) == len(want) and {r["doc_id"]: r["ids"] for r in got} == {i: enc.encode_ordinary(t) for i, t in want.items()}
 
 
 def test_mixing(spark):
