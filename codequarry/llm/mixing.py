@@ -13,13 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codequarry.llm.tokens import token_counts
+from codequarry.llm.tokens import once, token_counts
 from codequarry.session import staged
 
 #: frac(golden ratio), the step of the sequence with the most even spread.
 GOLDEN = 0.6180339887498949
-#: Hash ranges that each source's shuffled documents are summed in; a source's running total needs no single task.
-RANGES = 256
+#: Documents of a hash range, on average, and the fewest ranges. A source's shuffled documents are summed range by range, so its running total needs no single task.
+RANGE_DOCS, LEAST_RANGES = 20_000, 16
 
 
 def _name(col: str) -> Column:
@@ -32,7 +32,9 @@ def plan_mixture(docs: DataFrame, targets: DataFrame, block_tokens: int = 256, i
 
     ``docs`` has ``id_col, text, source``; ``targets`` has ``source, target_share,
     max_repeats``. The mixture is as large as the scarcest source allows, used
-    ``max_repeats`` times. A document stands in the slot its first token falls in.
+    ``max_repeats`` times. A document stands, whole, in the slot its
+    first token falls in: blocks are equal stretches of the laid-out tokens, and what
+    the documents of a slot hold together differs from a block by parts of documents.
     No document comes more than ``max_repeats`` times. Documents without tokens
     (null, empty), of null sources or of sources without a target take no part.
     Targets that repeat a source count once (the largest share); shares that are
@@ -46,13 +48,14 @@ def plan_mixture(docs: DataFrame, targets: DataFrame, block_tokens: int = 256, i
         .groupBy("source")
         .agg(F.max("share").alias("share"), F.max("most").alias("most"))
     )
-    one = docs.select(F.col(id_col).alias("id"), _name("source").alias("source"), F.col("text")).groupBy("id").agg(F.max(F.struct("source", "text")).alias("x"))
-    wanted = one.select("id", "x.source", "x.text").join(F.broadcast(goals.select("source")), "source", "left_semi")
-    sized = wanted.select("id", "source").join(token_counts(wanted, "id", "text", **tokenizer), "id").filter("tokens > 0")
-    order = F.xxhash64("id", F.lit(seed))
-    sized = staged(sized.withColumn("order", order).withColumn("range", F.pmod(F.shiftright("order", 32), F.lit(RANGES)).cast("int")), "sized")
+    one = once(docs.select(F.col(id_col).cast("long").alias("id"), _name("source").alias("source"), "text"))
+    wanted = one.join(F.broadcast(goals.select("source")), "source", "left_semi")
+    sized = wanted.select("id", "source").join(token_counts(wanted, "id", "text", distinct=True, **tokenizer), "id").filter("tokens > 0")
+    sized = staged(sized.withColumn("order", F.xxhash64("id", F.lit(seed))), "sized")
+    ranges = max(LEAST_RANGES, sized.count() // RANGE_DOCS)
+    sized = sized.withColumn("range", F.pmod(F.shiftright("order", 32), F.lit(ranges)).cast("int"))
 
-    # One row a source and range: at most RANGES times the number of targets.
+    # One row a source and range.
     sums = sized.groupBy("source", "range").agg(F.sum("tokens").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sums.withColumn("start", before).drop("n")
@@ -82,7 +85,8 @@ def plan_mixture(docs: DataFrame, targets: DataFrame, block_tokens: int = 256, i
     )
 
     inside = F.coalesce(F.sum("tokens").over(Window.partitionBy("source", "range").orderBy("order", "id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    laid = sized.withColumn("inside", inside).join(F.broadcast(starts), ["source", "range"])
+    # Sums are partitioned like the ranges they belong to, so the join needs no further shuffle of the documents.
+    laid = sized.withColumn("inside", inside).join(starts.repartition("source", "range"), ["source", "range"])
     laid = laid.join(F.broadcast(weights.select("source", "stock", "most")), "source")
     laid = laid.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.col("most"))))
     first = F.col("start") + F.col("inside") + (F.col("repeat") - 1) * F.col("stock")

@@ -14,6 +14,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +46,11 @@ _LINE_SCRIPT = re.compile(r"[ก-๎ᄀ-ᇿ぀-ヿ㄰-㆏㐀-鿿가-힯ｦ-ﾟ]"
 _CASELESS = re.compile(r"[֐-෿฀-࿿ᄀ-ᇿ぀-ヿ㄰-㆏㐀-鿿가-힯ｦ-ﾟ]")
 _EAST = re.compile(r"[ᄀ-ᇿ぀-ヿ㄰-㆏㐀-鿿가-힯ｦ-ﾟ]")
 _NEXT = re.compile(r"[\s﻿]*")
-_TOKEN = re.compile(r"\S{1,80}")
+_TOKEN = re.compile(r"\S+")
+# Of a word in a script without case only its beginning is looked at, which in scripts without blanks may be followed by the whole text.
+_CASELESS_TOKEN = re.compile(r"\S{1,8}")
+_BACK = regex.compile(r"(?r)\S+")
+_BACK_GAP = regex.compile(r"(?r)\s+")
 _IDENTIFIER = re.compile(r"^[\"'(`]*(?:`|\w*_\w|[\w.]*\w\(|[^\W\d_A-Z]+[A-Z]|\w+(?:[./]\w+)+|v?\d)")
 _PLAIN_NEXT = re.compile(r"[^\W\d_]+(?:'\w+)?(?=[\s,;:]|$)")
 
@@ -93,14 +98,14 @@ def _is_line_ended(line: str) -> bool:
 
 def _word_before(text: str, start: int, at: int) -> tuple[str, str, str]:
     """The chunk before an end mark, its last word in lower case, and the word before that if it ended in a dot."""
-    before = text[max(start, at - 60) : at]
-    parts = before.split()
-    if not parts or before[-1:].isspace():
+    found = _BACK.match(text, start, at)
+    if not found:
         return "", "", ""
-    chunk = unicodedata.normalize("NFC", parts[-1])
+    chunk = unicodedata.normalize("NFC", found[0])
     word = re.search(r"[^\W_]+(?:\.[^\W_]+)*$|[ऀ-ॣ]+$", chunk)
-    last = parts[-2].lower() if len(parts) > 1 else ""
-    return chunk, word[0].lower() if word else "", last[:-1].strip("(\"'«„“") if last.endswith(".") else ""
+    gap = _BACK_GAP.match(text, start, found.start())
+    before = gap and text[gap.start() - 1 : gap.start()] == "." and gap.start() > start and _BACK.match(text, start, gap.start())
+    return chunk, word[0].lower() if word else "", before[0].lower()[:-1].strip("(\"'«„“") if before else ""
 
 
 def _next_kind(text: str, at: int, end: int) -> tuple[str, bool, str]:
@@ -108,11 +113,11 @@ def _next_kind(text: str, at: int, end: int) -> tuple[str, bool, str]:
     gap = _NEXT.match(text, at, end).end()
     if gap >= end:
         return "end", gap > at, ""
-    token = _TOKEN.match(text, gap, end)[0]
-    c = token[0]
+    c = text[gap]
     if _CASELESS.match(c):
-        kind = "caseless"
-    elif c in "\"“„«‹「『(（[【¿¡`《〈":
+        return "caseless", gap > at, _CASELESS_TOKEN.match(text, gap, end)[0]
+    token = _TOKEN.match(text, gap, end)[0]
+    if c in "\"“„«‹「『(（[【¿¡`《〈":
         kind = "open"
     elif c.isdigit():
         kind = "digit"
@@ -208,17 +213,35 @@ def sentence_ends(text: str) -> list[int]:
         stack: list[tuple[str, int]] = []
         unit, first = start, _NEXT.match(text, body, end).end()
         at = body
+        line_start, last_of = start, {}
+        # Quotation marks of the unit, counted as far as ``quoted[0]``.
+        quoted = [unit, 0]
+
+        def closed_later(opener: str, after: int) -> bool:
+            for x in _CLOSERS[opener]:
+                if x not in last_of:
+                    last_of[x] = text.rfind(x, start, end)
+                if last_of[x] >= after:
+                    return True
+            return False
+
+        def odd_quotes(until: int) -> bool:
+            if quoted[0] < unit:
+                quoted[:] = [unit, 0]
+            quoted[:] = [until, quoted[1] + text.count('"', quoted[0], until)]
+            return quoted[1] % 2 == 1
+
         while m := _EVENT.search(text, at, end):
             s, e = m.span()
             c, at = text[s], e
             cut = -1
             if c == "`":
-                close = text.find("`", e, min(end, e + 300))
+                close = text.find("`", e, end)
                 at = close + 1 if close >= 0 else e
             elif c == "\n":
-                line = text[text.rfind("\n", unit, s) + 1 if text.rfind("\n", unit, s) >= 0 else unit : s]
-                if _is_line_ended(line):
+                if _is_line_ended(text[max(line_start, unit) : s]):
                     cut, stack = s, []
+                line_start = e
             elif c.isspace():
                 cut = s if not stack else -1
             elif stack and c in _CLOSERS[stack[-1][0]]:
@@ -229,13 +252,13 @@ def sentence_ends(text: str) -> list[int]:
                 if not stack and inner and (inner[-1] in ".!?…" or inner[-1] in _END) and _after_close(text, opener, place == first, at, end):
                     cut = at
             elif c in _CLOSERS:
-                if any(text.find(x, e, end) >= 0 for x in _CLOSERS[c]) and not (c == "(" and text[e : e + 1] == ")"):
+                if closed_later(c, e) and not (c == "(" and text[e : e + 1] == ")"):
                     stack.append((c, s))
             elif c in ".!?…" or c in _END:
                 if not stack:
                     while at < end and text[at] in _AFTER and text[at] != '"':
                         at += 1
-                    if at < end and text[at] == '"' and at + 1 < end and text[at + 1].isspace() and text.count('"', unit, at) % 2:
+                    if at < end and text[at] == '"' and at + 1 < end and text[at + 1].isspace() and odd_quotes(at):
                         at += 1
                     if _ends(text, unit, s, e, at, end):
                         cut = at

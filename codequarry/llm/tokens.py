@@ -61,17 +61,18 @@ def word_table(words: DataFrame, vocabulary: str = "byte_bpe_50k", folder: str |
     return words.select("word").distinct().mapInPandas(encode, "word string, ids array<int>")
 
 
-def _once(texts: DataFrame) -> DataFrame:
-    """``id, text`` with each id once, the greatest text. Only texts of ids that occur again are shuffled for it."""
+def once(rows: DataFrame) -> DataFrame:
+    """``rows`` with each ``id`` once: the greatest one by its other columns in their order. Only rows of ids that occur again are shuffled for it."""
     from codequarry.session import staged
 
-    again = staged(texts.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"), "again")
+    again = staged(rows.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("id").alias("_again")), "again")
     many = again.count()
     if not many:
-        return texts
+        return rows
     side = F.broadcast(again) if many <= MOST_SENT else again
-    same = texts["id"].eqNullSafe(side["id"])
-    return texts.join(side, same, "left_anti").unionByName(texts.join(side, same, "left_semi").groupBy("id").agg(F.max("text").alias("text")))
+    same, others = F.col("id").eqNullSafe(F.col("_again")), [c for c in rows.columns if c != "id"]
+    greatest = rows.join(side, same, "left_semi").groupBy("id").agg(F.max(F.struct(*others)).alias("_x"))
+    return rows.join(side, same, "left_anti").unionByName(greatest.select("id", "_x.*"))
 
 
 def _assemble(counts: bool):
@@ -102,8 +103,8 @@ def _assemble(counts: bool):
     return run
 
 
-def _encoded(texts: DataFrame, id_col: str, text_col: str, vocabulary: str, folder: str | None, counts: bool) -> DataFrame:
-    docs = _once(texts.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
+def _encoded(docs: DataFrame, vocabulary: str, folder: str | None, counts: bool) -> DataFrame:
+    """Of ``id, text``, each id once."""
     size = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).head()["n"]
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     batches = max(1, -(-size // BATCH_CHARS), min(tasks, size // LEAST_CHARS))
@@ -123,14 +124,16 @@ def encode_corpus(
     Null and empty texts have an empty list. Rows that repeat an id count once (the
     greatest text). A null id is an id of its own. Other columns are ignored.
     """
-    return _encoded(texts, id_col, text_col, vocabulary, folder, False).withColumnRenamed("id", id_col)
+    docs = once(texts.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
+    return _encoded(docs, vocabulary, folder, False).withColumnRenamed("id", id_col)
 
 
 def token_counts(
-    texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k", folder: str | None = None
+    texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k", folder: str | None = None, distinct: bool = False
 ) -> DataFrame:
-    """``id_col, tokens``: the number of tokens of each text; 0 for null and empty ones. Ids count once, as in ``encode_corpus``."""
-    return _encoded(texts, id_col, text_col, vocabulary, folder, True).withColumnRenamed("id", id_col)
+    """``id_col, tokens``: the number of tokens of each text; 0 for null and empty ones. Ids count once, as in ``encode_corpus``; ``distinct``: they are known to occur once."""
+    docs = texts.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return _encoded(docs if distinct else once(docs), vocabulary, folder, True).withColumnRenamed("id", id_col)
 
 
 def piece_table(spark: SparkSession, vocabulary: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
