@@ -9,7 +9,7 @@ overlap is then looked up in the preceding segments.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -115,10 +115,15 @@ def split_oversized(
         f"transform(before, b -> if(b = '', '', if(endswith(b, '\\n') and length(substring_index(b, '\\n', -{overlap_lines + 1})) <= reserve,"
         f" substring_index(b, '\\n', -{overlap_lines + 1}), right(b, {overlap_chars}))))",
     ).drop("before")
-    look = _pinned(look, "breaks", "transform(segs, s -> length(s) - length(replace(s, '\\n', '')))")
-    pieces = look.select("id", "at", "shared", "breaks", F.size("segs").alias("n_pieces"), F.posexplode("segs").alias("i", "seg"))
-    own = F.expr("shared[i]")
-    first = F.expr("at + aggregate(slice(breaks, 1, i), 0L, (a, x) -> a + x) - (length(shared[i]) - length(replace(shared[i], '\\n', '')))")
+    look = _pinned(look, "parts", "arrays_zip(segs, shared)").select("id", "at", F.size("segs").alias("n_pieces"), F.posexplode("parts").alias("i", "part"))
+    pieces = look.select("id", "at", "n_pieces", "i", F.col("part.segs").alias("seg"), F.col("part.shared").alias("own"))
+    # Pieces still lie where their items were told apart, so lines are summed up without a shuffle.
+    breaks = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+    before = F.sum(breaks(F.col("seg"))).over(Window.partitionBy("id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
+    own = F.col("own")
+    first = F.col("at") + F.coalesce(before, F.lit(0)) - breaks(own)
+    pieces = pieces.withColumn("first", first)
+    first = F.col("first")
     return pieces.select(
         F.col("id").alias(id_col),
         (F.col("i") + 1).alias("piece_no"),

@@ -11,7 +11,7 @@ target. Whatever is still wide then is compared whole, block by block. A sketch
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -123,18 +123,19 @@ def similar_sets(sets: DataFrame, threshold: float = 0.75) -> tuple[DataFrame, D
     depth = deepest(threshold)
     sign, schema = _signatures(depth)
     usual, hot = hot_apart(classes.mapInArrow(sign, schema), "key")
-    rows = counted(usual, "key")
-    for d in range(SHALLOWEST, depth):
-        # 16 bits of the next value deepen the prefix.
-        value = F.shiftright("deeper", 16 * (d - SHALLOWEST)).bitwiseAND(F.lit(0xFFFF))
-        rows = rows.withColumn("key", F.when(F.col("n") > WIDE, F.xxhash64("key", value, F.lit(d))).otherwise(F.col("key")))
-        rows = counted(rows.drop("n"), "key")
-    columns = ["key", "n", "cls", "sketch"]
-    rows = rows.select(columns)
+
+    def deepened(rows: DataFrame, count: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+        for d in range(SHALLOWEST, depth):
+            # 16 bits of the next value deepen the prefix.
+            value = F.shiftright("deeper", 16 * (d - SHALLOWEST)).bitwiseAND(F.lit(0xFFFF))
+            rows = rows.withColumn("key", F.when(F.col("n") > WIDE, F.xxhash64("key", value, F.lit(d))).otherwise(F.col("key")))
+            rows = count(rows.drop("n"), "key")
+        return rows.select("key", "n", "cls", "sketch")
+
+    rows = deepened(counted(usual, "key"), counted)
     if hot is not None:
-        # Neighbourhoods too wide for one task are deepened at once as far as the target allows.
-        deep = sized(hot.drop("n").withColumn("key", F.xxhash64("key", "deeper")), "key")
-        rows = rows.unionByName(deep.select(columns))
+        # Neighbourhoods too wide for one task deepen by the same steps; only their sizes are counted in another way.
+        rows = rows.unionByName(deepened(hot, sized))
     bits, spread = 64 * (1 - threshold) / 2, (64 * (1 + threshold) / 2 * (1 - threshold) / 2) ** 0.5
     pairs = candidate_pairs(rows, "key", "cls", "sketch", int(bits + SKETCH_SIGMAS * spread))
     verified = (

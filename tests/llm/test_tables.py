@@ -112,6 +112,19 @@ def test_tag_pairs_against_brute_force(spark):
     assert tagpairs.similar_tag_sets(tags.limit(0), known).count() == 0 and tagpairs.similar_tag_sets(tags, known.limit(0)).count() == 0
 
 
+def test_hot_neighbourhoods_deepen_by_the_same_steps(spark, monkeypatch):
+    rng = random.Random(6)
+    sets = {i: {f"tag{t}": 1 + t % 3 for t in rng.sample(range(9), 6)} for i in range(150)}
+    tags = spark.createDataFrame([(i, t, w) for i, s in sets.items() for t, w in s.items()], "chunk_id long, tag string, weight int")
+    known = spark.createDataFrame([(i,) for i in sets], "chunk_id long")
+    want = {(a, b) for a in sets for b in sets if a < b and _weighted(sets[a], sets[b]) >= 0.75}
+    monkeypatch.setattr(tagpairs, "WIDE", 2)
+    usual = set(map(tuple, tagpairs.similar_tag_sets(tags, known).collect()))
+    monkeypatch.setattr(tagpairs, "hot_apart", lambda rows, key: buckets.hot_apart(rows, key, 3))
+    monkeypatch.setattr(tagpairs, "sized", lambda rows, key: buckets.sized(rows, key, 3))
+    assert set(map(tuple, tagpairs.similar_tag_sets(tags, known).collect())) == usual <= want and len(usual) > 0.95 * len(want)
+
+
 def test_heavy_tags_count_whole_in_signatures():
     rng = np.random.default_rng(6)
     sets = []
