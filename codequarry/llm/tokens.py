@@ -15,7 +15,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,15 +49,17 @@ def _split(text: Column) -> Column:
 
 
 def word_table(words: DataFrame, vocabulary: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
-    """``word, ids`` of each distinct ``word``: its token ids."""
+    """``word, parts, ids`` of each distinct ``word``: the parts it occurs in (of rows ``word, part``, each pair once), and its token ids."""
     path = rank_file(vocabulary, folder)
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path)
         for b in batches:
-            yield pd.DataFrame({"word": b["word"], "ids": [enc.encode_ordinary(w) for w in b["word"]]})
+            ids = pa.array([enc.encode_ordinary(w) for w in b.column("word").to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("parts"), ids], ["word", "parts", "ids"])
 
-    return words.select("word").distinct().mapInPandas(encode, "word string, ids array<int>")
+    each = words.groupBy("word").agg(F.collect_list("part").alias("parts"))
+    return each.mapInArrow(encode, "word string, parts array<int>, ids array<int>")
 
 
 def once(rows: DataFrame) -> DataFrame:
@@ -75,6 +76,18 @@ def once(rows: DataFrame) -> DataFrame:
     return rows.join(side, same, "left_anti").unionByName(greatest.select("id", "_x.*"))
 
 
+def _packed_lengths(words: Column) -> Column:
+    """The lengths of words as characters below 128: as often 127 as it fits into a length, then the rest."""
+    one = lambda w: F.concat(F.repeat(F.char(F.lit(127)), F.floor(F.length(w) / 127).cast("int")), F.char(F.length(w) % 127))
+    return F.array_join(F.transform(words, one), "")
+
+
+def _lengths(packed: str) -> list[int]:
+    codes = np.frombuffer(packed.encode(), np.uint8)
+    ends = np.flatnonzero(codes < 127)
+    return np.diff(np.cumsum(codes, dtype=np.int64)[ends], prepend=0).tolist()
+
+
 def _assemble(counts: bool):
     """Grouped Arrow function over a batch: its documents with the lengths of their words, and the ids of its distinct words."""
 
@@ -86,7 +99,7 @@ def _assemble(counts: bool):
         found, at_doc = [], [0]
         for text, lengths in zip(docs["text"].to_pylist(), docs["lengths"].to_pylist(), strict=True):
             at = 0
-            for n in lengths or ():
+            for n in _lengths(lengths) if lengths else ():
                 found.append(place[text[at : at + n]])
                 at += n
             at_doc.append(len(found))
@@ -110,8 +123,8 @@ def _encoded(docs: DataFrame, vocabulary: str, folder: str | None, counts: bool)
     batches = max(1, -(-size // BATCH_CHARS), min(tasks, size // LEAST_CHARS))
     docs = docs.withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int"))
     asked = docs.select(F.col("batch").alias("part"), F.explode(F.array_distinct(_split(F.col("text")))).alias("word")).distinct()
-    known = asked.join(word_table(asked, vocabulary, folder), "word")
-    own = docs.select("batch", "id", "text", F.transform(_split(F.col("text")), F.length).alias("lengths"))
+    known = word_table(asked, vocabulary, folder).select("word", "ids", F.explode("parts").alias("part"))
+    own = docs.select("batch", "id", "text", _packed_lengths(_split(F.col("text"))).alias("lengths"))
     schema = "id long, tokens long" if counts else "id long, ids array<int>"
     return own.groupBy("batch").cogroup(known.groupBy("part")).applyInArrow(_assemble(counts), schema)
 
