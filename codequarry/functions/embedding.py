@@ -22,7 +22,9 @@ def hashed(dim: int = 64) -> Embedder:
         for i, text in enumerate(texts):
             h = 2166136261
             for c in text:
-                h = ((h ^ (ord(c) & 0xFFFF)) * 16777619) & 0xFFFFFFFF
+                # Of characters beyond the basic plane the first UTF-16 unit counts.
+                unit = ord(c) if ord(c) < 0x10000 else 0xD800 + ((ord(c) - 0x10000) >> 10)
+                h = ((h ^ unit) * 16777619) & 0xFFFFFFFF
             signed = h - (1 << 32) if h >> 31 else h
             out[i, abs(signed) % dim] = 1
         return out

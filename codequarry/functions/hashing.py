@@ -39,3 +39,9 @@ def query_key(mode: Column, query: Column, scope: Column, limit: Column) -> Colu
 def embedding_text(signature: Column, doc: Column, content: Column) -> Column:
     """What is embedded of a chunk: signature, documentation and content, as far as there are any, with blank lines between."""
     return F.array_join(F.filter(F.array(signature, doc, content), lambda x: x.isNotNull() & (x != "")), "\n\n")
+
+
+def commented_text(signature: Column, doc: Column, content: Column) -> Column:
+    """A chunk as one text with its documentation as a comment: signature and ``// `` documentation, as far as there are any, and the content."""
+    remark = F.when(doc != "", F.concat(F.lit("// "), doc))
+    return F.concat_ws("\n", F.when(signature != "", signature), remark, F.coalesce(content, F.lit("")))

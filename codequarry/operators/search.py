@@ -24,11 +24,15 @@ RRF_K, CHANNEL, K1, B = 60, 20, 1.2, 0.75
 MOST_SENT = 100_000
 #: Rows of a block of vectors; a pair of blocks is compared in one matrix product.
 BLOCK = 4_096
+#: Query vectors are sent to all tasks up to this number.
+MOST_QUERIES = 65_536
+#: Tokens up to this number are also a filter of the index's scan.
+MOST_FILTERED = 500
 #: Queries of a block whose distances are held at once, and pairs whose distance is computed again at once.
 QUERIES, PAIRS = 256, 1 << 16
 
 
-def _packed(vectors: DataFrame, id_col: str, vec_col: str, dim: int, names: tuple[str, str]) -> DataFrame:
+def _packed(vectors: DataFrame, id_col: str, vec_col: str, dim: int, names: tuple[str, str], distinct: bool = False) -> DataFrame:
     """Blocks of up to ``BLOCK`` rows: the ids and the vectors, as bytes. Unusable vectors (null, of another length, with nulls, NaN or infinities) are left out."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,16 +46,19 @@ def _packed(vectors: DataFrame, id_col: str, vec_col: str, dim: int, names: tupl
                 if good.any():
                     yield pa.RecordBatch.from_arrays([pa.array([ids[good].tobytes()]), pa.array([np.ascontiguousarray(x[good]).tobytes()])], list(names))
 
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("e")).filter("id is not null").dropDuplicates(["id"])
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("e")).filter("id is not null")
+    rows = rows if distinct else rows.dropDuplicates(["id"])
     return rows.mapInArrow(pack, f"{names[0]} binary, {names[1]} binary")
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int = CHANNEL, dim: int = 64, query_col: str = "query_id", id_col: str = "chunk_id", vec_col: str = "embedding") -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int = CHANNEL, dim: int = 64, query_col: str = "query_id", id_col: str = "chunk_id", vec_col: str = "embedding", distinct: bool = False) -> DataFrame:
     """``query_id, chunk_id, distance, similarity, rank``: exact search, the ``k`` vectors nearest to each query by Euclidean distance; ties by id.
 
     Both sides are packed into blocks, and every block of queries meets every block
     of vectors once; a pair of blocks returns only the best ``k`` of each query, cut after all rows
-    that tie with the last of them are ordered by id.
+    that tie with the last of them are ordered by id. The queries are the side that is
+    sent, if a count shows that they are few enough. ``distinct``: ids of vectors are
+    known to occur once.
     """
 
     def candidates(q: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,57 +87,67 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = CHANNEL, dim: int =
                     yield pa.RecordBatch.from_arrays([pa.array(qid[s + at[top]]), pa.array(vid[near[top]]), pa.array(dist[top])], ["query_id", "chunk_id", "distance"])
 
     left = _packed(queries, query_col, vec_col, dim, ("qi", "qv"))
-    right = _packed(vectors, id_col, vec_col, dim, ("vi", "vv"))
-    found = left.crossJoin(right).mapInArrow(compare, "query_id long, chunk_id long, distance double")
+    right = _packed(vectors, id_col, vec_col, dim, ("vi", "vv"), distinct)
+    if queries.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES:
+        left = F.broadcast(left)
+    found = left.crossJoin(right).select("qi", "qv", "vi", "vv").mapInArrow(compare, "query_id long, chunk_id long, distance double")
     best = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "chunk_id", "distance", cosine_of_distance(F.col("distance")).alias("similarity"), "rank")
 
 
-def _sent(rows: DataFrame, name: str) -> DataFrame:
-    """``rows`` staged, and marked to be sent to all tasks if a count shows that they are few."""
-    kept = staged(rows, name)
-    return F.broadcast(kept) if kept.count() <= MOST_SENT else kept
-
-
 def within_scope(found: DataFrame, chunks: DataFrame, scope: str | None) -> DataFrame:
     """Search results of one scope, as the rank stands: filtered after the cut. A null scope never matches; no scope asked for keeps all."""
     return found if scope is None else found.join(chunks.filter(F.col("scope") == scope).select("chunk_id"), "chunk_id", "left_semi")
 
 
 def postings(chunks: DataFrame, columns: tuple[str, ...] = ("signature", "symbol_name", "content"), stem: bool = False) -> DataFrame:
-    """``chunk_id, col, pos, token``: the inverted index; ``col`` numbers the columns. Chunks that repeat an id count once."""
+    """``token, chunk_id, tf, n_tokens, at``: the inverted index, a row for each token of each chunk.
+
+    ``n_tokens`` is the length of the chunk over all columns, ``at`` the places of the
+    token: the number of the column in the upper 32 bits, the position in the lower
+    ones. Chunks that repeat an id count once.
+    """
     one = chunks.dropDuplicates(["chunk_id"])
     parts = F.array(*(F.struct(F.lit(n).alias("col"), F.col(c).alias("text")) for n, c in enumerate(columns)))
     rows = one.select("chunk_id", F.explode(parts).alias("p")).select("chunk_id", "p.col", F.posexplode(tokens(F.col("p.text"))).alias("pos", "token"))
-    return stemmed(rows) if stem else rows
+    rows = stemmed(rows) if stem else rows
+    place = F.shiftleft(F.col("col").cast("long"), 32) + F.col("pos")
+    # Tokens of a chunk lie together, so its length needs no join.
+    each = rows.repartition("chunk_id").groupBy("chunk_id", "token").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list(place)).alias("at"))
+    length = F.sum("tf").over(Window.partitionBy("chunk_id"))
+    return each.select("token", "chunk_id", "tf", length.alias("n_tokens"), "at")
 
 
-def document_lengths(index: DataFrame) -> DataFrame:
-    """``chunk_id, n_tokens`` over all columns."""
-    return index.groupBy("chunk_id").agg(F.count("*").alias("n_tokens"))
+def in_token_order(rows: DataFrame) -> DataFrame:
+    """Postings as they are stored: rows of a token side by side, so that a scan for few tokens skips the rest; a frequent one in eight parts."""
+    return rows.repartition(F.col("token"), F.pmod("chunk_id", F.lit(8))).sortWithinPartitions("token", "chunk_id")
 
 
 class Index(NamedTuple):
-    """A full-text index: postings, the distinct tokens, the lengths of the chunks, and the totals of the corpus."""
+    """A full-text index: postings, the distinct tokens, and the totals of the corpus."""
 
     postings: DataFrame
     words: DataFrame
-    lengths: DataFrame
     n_docs: int
     n_tokens: int
 
 
-def opened_index(rows: DataFrame, words: DataFrame, lengths: DataFrame, chunks: DataFrame) -> Index:
+def index_words(rows: DataFrame) -> DataFrame:
+    """``token, n``: the distinct tokens of postings and how often each occurs."""
+    return rows.groupBy("token").agg(F.sum("tf").alias("n"))
+
+
+def opened_index(rows: DataFrame, words: DataFrame, chunks: DataFrame) -> Index:
     """An index from its stored tables. The totals cover all chunks, those without tokens too."""
-    total = lengths.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).head()["n"]
-    return Index(rows, words, lengths, chunks.select("chunk_id").distinct().count(), total)
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).head()["n"]
+    return Index(rows, words, chunks.select("chunk_id").distinct().count(), total)
 
 
 def built_index(chunks: DataFrame, stem: bool = False) -> Index:
     """The index of chunks, with its tables staged."""
-    rows = staged(postings(chunks, stem=stem), "postings")
-    return opened_index(rows, staged(rows.select("token").distinct(), "words"), staged(document_lengths(rows), "lengths"), chunks)
+    rows = staged(in_token_order(postings(chunks, stem=stem)), "postings")
+    return opened_index(rows, staged(index_words(rows), "words"), chunks)
 
 
 def _query_parts(queries: DataFrame, query_col: str, text_col: str, stem: bool) -> DataFrame:
@@ -142,32 +159,54 @@ def _query_parts(queries: DataFrame, query_col: str, text_col: str, stem: bool)
     return stemmed(rows) if stem else rows
 
 
-def phrase_hits(queries: DataFrame, index: Index, query_col: str = "query_id", text_col: str = "query", stem: bool = False) -> DataFrame:
-    """``query_id, phrase, chunk_id, tf``: how often each phrase of each query occurs in each chunk.
-
-    Prefixes meet the vocabulary (not the index) on their first two letters, then
-    tokens join the index by equality.
-    """
-    parts = _sent(_query_parts(queries, query_col, text_col, stem), "query_parts")
-    words = index.words
+def query_tokens(queries: DataFrame, index: Index, query_col: str = "query_id", text_col: str = "query", stem: bool = False) -> DataFrame:
+    """``query_id, phrase, part, parts, token``: the tokens of the index that the words of the queries stand for. Prefixes meet the vocabulary on their first two letters."""
+    parts, words = _query_parts(queries, query_col, text_col, stem), index.words.select("token")
+    if queries.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES:
+        parts = F.broadcast(parts)
     head = lambda c: F.substring(c, 1, 2)
     open_ended = parts.filter("is_prefix").select("query_id", "phrase", "part", "parts", F.col("token").alias("prefix"))
     expanded = words.join(open_ended, (head("prefix") == head("token")) & F.col("token").startswith(F.col("prefix"))).drop("prefix")
     # A prefix of one letter has no second one to meet on.
     single = words.join(open_ended.filter(F.length("prefix") == 1), (F.substring("prefix", 1, 1) == F.substring("token", 1, 1)) & (F.length("token") > 1)).drop("prefix")
     exact = parts.filter("not is_prefix").select("query_id", "phrase", "part", "parts", "token")
-    wanted = _sent(expanded.unionByName(single).unionByName(exact).distinct(), "query_tokens")
-    at = index.postings.join(wanted, "token").withColumn("start", F.col("pos") - F.col("part"))
-    whole = at.groupBy("query_id", "phrase", "parts", "chunk_id", "col", "start").agg(F.countDistinct("part").alias("n")).filter("n = parts")
-    return whole.groupBy("query_id", "phrase", "chunk_id").agg(F.count("*").alias("tf"))
+    columns = ["query_id", "phrase", "part", "parts", "token"]
+    return expanded.select(columns).unionByName(single.select(columns)).unionByName(exact.select(columns)).distinct()
+
+
+def phrase_hits(queries: DataFrame, index: Index, query_col: str = "query_id", text_col: str = "query", stem: bool = False) -> DataFrame:
+    """``query_id, phrase, chunk_id, n_tokens, tf``: how often each phrase of each query occurs in each chunk.
+
+    Tokens join the index by equality; those of queries are sent if there are at most
+    ``MOST_SENT``, and filter the scan if they are few. Places are read for phrases of
+    several tokens only.
+    """
+    wanted = query_tokens(queries, index, query_col, text_col, stem)
+    rows, single, several = index.postings, F.col("parts") == 1, True
+    # At most one row more than may be sent.
+    few = wanted.limit(MOST_SENT + 1).toArrow()
+    if few.num_rows <= MOST_SENT:
+        names = set(few["token"].to_pylist())
+        several = any(n > 1 for n in few["parts"].unique().to_pylist())
+        wanted = F.broadcast(queries.sparkSession.createDataFrame(few, wanted.schema))
+        if len(names) <= MOST_FILTERED:
+            rows = rows.filter(F.col("token").isin(sorted(names)))
+    group = ["query_id", "phrase", "chunk_id", "n_tokens"]
+    alone = rows.select("token", "chunk_id", "tf", "n_tokens").join(wanted.filter(single), "token").groupBy(*group).agg(F.sum("tf").alias("tf"))
+    if not several:
+        return alone
+    at = rows.join(wanted.filter(~single), "token").select(*group, "part", "parts", F.explode("at").alias("place")).withColumn("start", F.col("place") - F.col("part"))
+    whole = at.groupBy(*group, "parts", "start").agg(F.countDistinct("part").alias("n")).filter("n = parts")
+    return alone.unionByName(whole.groupBy(*group).agg(F.count("*").alias("tf")))
 
 
 def full_text(queries: DataFrame, index: Index, chunks: DataFrame, k: int = CHANNEL, scope: str | None = None, stem: bool = False, query_col: str = "query_id", text_col: str = "query") -> DataFrame:
     """``query_id, chunk_id, score, rank``: the ``k`` best chunks of each query by BM25 over all columns; the scope counts before the cut, ties go to the smaller id."""
-    hits = staged(phrase_hits(queries, index, query_col, text_col, stem), "phrase_hits")
+    hits = phrase_hits(queries, index, query_col, text_col, stem)
+    # One row a phrase; both uses of the hits share their shuffle.
     spread = hits.groupBy("query_id", "phrase").agg(F.count("*").alias("df"))
     idf = F.log((F.lit(float(index.n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    rated = hits.join(spread, ["query_id", "phrase"]).join(index.lengths, "chunk_id")
+    rated = hits.join(spread, ["query_id", "phrase"])
     weight = F.when(idf > 0, idf).otherwise(F.lit(1e-6))
     length = F.col("n_tokens") / F.lit(index.n_tokens / max(1, index.n_docs))
     part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * length))
@@ -188,9 +227,9 @@ def fused(vector_hits: DataFrame, text_hits: DataFrame, limit: int = 10) -> Data
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 
 
-def hybrid(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, index: Index, limit: int = 10, scope: str | None = None, dim: int = 64, stem: bool = False) -> DataFrame:
+def hybrid(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, index: Index, limit: int = 10, scope: str | None = None, dim: int = 64, stem: bool = False, distinct: bool = False) -> DataFrame:
     """Both channels of ``query_id, query, embedding`` and their fusion; the vector channel is filtered by scope after its cut, the text channel before."""
-    near = within_scope(nearest(queries, vectors, CHANNEL, dim), chunks, scope)
+    near = within_scope(nearest(queries, vectors, CHANNEL, dim, distinct=distinct), chunks, scope)
     text = full_text(queries, index, chunks, CHANNEL, scope, stem)
     return fused(near, text, limit)
 

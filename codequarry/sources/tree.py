@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import subprocess
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,13 +15,37 @@ from codequarry.functions.structure import language_of
 MAX_BYTES, PROBE = 1_048_576, 8_192
 
 
-def read_tree(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """``file_path, length, content``: the files under a folder, with paths relative to it; symbolic links and hidden files as Spark's file source has them."""
+def read_tree(spark: SparkSession, root: str, pattern: str = "*", max_bytes: int | None = None) -> DataFrame:
+    """``file_path, length, content``: the files under a folder, with paths relative to it; symbolic links and hidden files as Spark's file source has them.
+
+    Files of over ``max_bytes`` are left out before their bytes are read.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    if max_bytes is not None:
+        files = files.filter(F.col("length") <= max_bytes)
     base = "^" + re.escape(root if "://" in root else f"file:{root}").rstrip("/") + "/"
     return files.select(F.regexp_replace(F.regexp_replace("path", "^file:/+", "file:/"), base.replace("file:///", "file:/"), "").alias("file_path"), "length", "content")
 
 
+def tree_rules(spark: SparkSession, root: str, name: str = ".gitignore") -> list[str]:
+    """The lines of the ignore file in the root of a tree; none if there is no such file."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    stream = fs.open(path)
+    text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    stream.close()
+    return text.splitlines()
+
+
+def revision_diff(spark: SparkSession, root: str, since: str) -> DataFrame:
+    """``value``: the name-status lines of a git tree since a revision. Raises if git has no answer."""
+    told = subprocess.run(["git", "-C", root, "diff", "--name-status", "-M", "--end-of-options", since, "HEAD"], capture_output=True, text=True, check=True)
+    return spark.createDataFrame([(line,) for line in told.stdout.splitlines()], "value string")
+
+
 def snapshot(files: DataFrame) -> DataFrame:
     """``file_path, blob_sha`` of files with their bytes: the hash of what was read."""
     return files.select("file_path", git_blob_sha(F.col("content")).alias("blob_sha"))

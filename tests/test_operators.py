@@ -231,3 +231,92 @@ def test_engine_cuts_long_chunks_and_keeps_what_sql_says(spark, tmp_path):
     assert [(r["query_text"], r["hit_count"]) for r in engine.table("semantic_cache").collect()] == [("receipt", 1)]
     engine.cached_search("receipts", "v2", "2025-01-01 01:00:00")
     assert engine.table("semantic_cache").count() == 1 and engine.table("exact_cache").count() == 2
+
+
+def _tree(root, files):
+    for name, text in files.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+
+
+def test_engine_keeps_what_fails_and_rewrites_what_changed(spark, tmp_path, monkeypatch):
+    from codequarry.functions import chunkers
+
+    root = tmp_path / "p"
+    _tree(root, {"a.py": "def one():\n    return 1\n", "b.py": "def two():\n    return 2\n", "skipped/c.py": "def three():\n    pass\n", ".gitignore": "skipped/\n"})
+    engine = Engine(spark, str(tmp_path / "i"), Settings(languages=("python",)))
+    assert {r["change"]: r["n"] for r in engine.index(str(root), "2025-01-01 00:00:00").collect()} == {"new": 2}
+    assert {r["file_path"] for r in engine.table("files").collect()} == {"a.py", "b.py"}
+    row = engine.table("index_ledger").filter("file_path = 'a.py'").head()
+    assert '"key"' in row["chunk_hashes_json"] and len(row["signature_hash"]) == 64
+    first = engine.store.manifest()[1]
+
+    # A file that fails keeps its chunks, is counted, and is tried again.
+    usual = chunkers.chunked
+    failing = lambda files: usual(files).withColumn("error", F.when(F.col("file_path") == "a.py", "broken").otherwise(F.col("error")))
+    _tree(root, {"a.py": "def one_b():\n    return 1\n"})
+    monkeypatch.setattr(chunkers, "chunked", failing)
+    assert {r["change"]: r["n"] for r in engine.index(str(root), "2025-01-02 00:00:00").collect()} == {"content-only": 1, "unchanged": 1, "error": 1}
+    assert {r["symbol_name"] for r in engine.table("chunks").collect()} == {"one", "two"}
+    monkeypatch.setattr(chunkers, "chunked", usual)
+    told = []
+    assert {r["change"]: r["n"] for r in engine.index(str(root), "2025-01-03 00:00:00", progress=told.append).collect()} == {"content-only": 1, "unchanged": 1}
+    assert {r["symbol_name"] for r in engine.table("chunks").collect()} == {"one_b", "two"} and len(told) >= 4
+    # Only the bucket of the changed file is another folder.
+    last = engine.store.manifest()[1]
+    for name in ("chunks", "chunks_vec", "chunk_tags", "postings", "files", "index_ledger"):
+        assert sum(first[name][b] != last[name][b] for b in first[name] if b != "schema") == 1
+    assert engine.search_code("one_b", "v", "2025-01-03 00:00:00").head()["symbol_name"] == "one_b"
+    status = engine.index_status("2025-01-03 00:00:00").head()
+    assert status["languages"] == {"python": 2} and status["files"] == 2 and status["exact_entries"] == 0 and status["schema_version"] >= 1
+    assert "one_b" in engine.described_file("a.py") and engine.described_file("x.py").endswith("[not indexed]")
+    # Of two writers that began from the same version, the later one fails.
+    from codequarry.store import ConcurrentWrite
+
+    base = engine.store.manifest()[0]
+    engine.store.commit({"notes": spark.range(1)}, base=base)
+    with pytest.raises(ConcurrentWrite):
+        engine.store.commit({"notes": spark.range(2)}, base=base)
+    assert engine.table("notes").count() == 1 and engine.table("chunks").count() == 2
+
+
+def test_engine_follows_a_diff(spark, tmp_path):
+    root = tmp_path / "p"
+    _tree(root, {"a.py": "def one():\n    return 1\n", "b.py": "def two():\n    return 2\n", "c.py": "def three():\n    return 3\n", "d.py": "def four():\n    pass\n"})
+    calls = []
+
+    def counting(texts):
+        calls.extend(texts)
+        return np.ones((len(texts), 4), np.float32)
+
+    engine = Engine(spark, str(tmp_path / "i"), Settings(languages=("python",), dimension=4), counting)
+    engine.index(str(root), "2025-01-01 00:00:00")
+    ids = {r["symbol_name"]: r["chunk_id"] for r in engine.table("chunks").collect()}
+    (root / "a.py").rename(root / "moved.py")
+    (root / "b.py").unlink()
+    _tree(root, {"c.py": "def three_b():\n    return 3\n", "d.py": "def changed_but_not_told():\n    pass\n"})
+    lines = spark.createDataFrame([("R100\ta.py\tmoved.py",), ("D\tb.py",), ("M\tc.py",)], "value string")
+    got = {r["change"]: r["n"] for r in engine.index(str(root), "2025-01-02 00:00:00", diff=lambda: lines).collect()}
+    assert got == {"renamed": 1, "deleted": 1, "content-only": 1, "unchanged": 1}
+    chunks = {r["symbol_name"]: r for r in engine.table("chunks").collect()}
+    assert {n: r["file_path"] for n, r in chunks.items()} == {"one": "moved.py", "three_b": "c.py", "four": "d.py"} and chunks["one"]["chunk_id"] == ids["one"]
+    assert {r["file_path"] for r in engine.table("index_ledger").collect()} == {"moved.py", "c.py", "d.py"}
+    # Without an answer all files are compared.
+    said = []
+
+    def fails():
+        raise OSError("no git here")
+
+    got = {r["change"]: r["n"] for r in engine.index(str(root), "2025-01-03 00:00:00", diff=fails, keep=lambda p: p != "c.py", progress=said.append).collect()}
+    assert got == {"deleted": 1, "content-only": 1, "unchanged": 1} and "no git here" in said[0]
+    assert {r["symbol_name"] for r in engine.table("chunks").collect()} == {"one", "changed_but_not_told"}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from codequarry.__main__ import main
+
+    root = tmp_path / "p"
+    _tree(root, {"a.js": "function one() {\n  return 1;\n}\n"})
+    assert main(["--root", str(root), "--home", str(tmp_path / "i")]) == 0 and "new=1" in capsys.readouterr().out
+    (tmp_path / "bad.json").write_text("{")
+    assert main(["--root", str(root), "--home", str(tmp_path / "i"), "--config", str(tmp_path / "bad.json")]) == 2
