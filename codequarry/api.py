@@ -47,13 +47,9 @@ class Engine:
         columns = ["file_path", "language", "chunk_type", "symbol_name", "receiver_type", "signature", "package_name", "start_line", "end_line", "content", "doc_comment", "imports"]
         code = chunkers.chunked(text.filter("language <> 'sql'"))
         code = code.select(*columns, "error", F.array().cast("array<string>").alias("sql_tags"))
-        sql = sqltext.sql_chunks(text.filter("language = 'sql'")).join(text.select("file_path", F.col("content").alias("source")), "file_path")
-        before = F.call_function("substring_index", F.col("source"), F.col("content"), F.lit(1))
-        first = F.size(F.split(before, "\n", -1))
-        sql = sql.withColumn("start_line", first).withColumn("end_line", first + F.size(F.split("content", "\n", -1)) - 1)
-        doc = F.coalesce(structure.comment_above(F.col("source"), F.col("start_line"), "--"), sqltext.leading_comment(F.col("content")))
+        sql = sqltext.sql_chunks(text.filter("language = 'sql'"))
         tags = F.concat(F.array(F.concat(F.lit("dialect:"), "dialect")), "features")
-        sql = sql.select("file_path", F.lit("sql").alias("language"), "chunk_type", "symbol_name", F.col("receiver").alias("receiver_type"), "signature", "package_name", "start_line", "end_line", "content", doc.alias("doc_comment"), "imports", F.lit(None).cast("string").alias("error"), tags.alias("sql_tags"))
+        sql = sql.select("file_path", F.lit("sql").alias("language"), "chunk_type", "symbol_name", F.col("receiver").alias("receiver_type"), "signature", "package_name", "start_line", "end_line", "content", "doc_comment", "imports", F.lit(None).cast("string").alias("error"), tags.alias("sql_tags"))
         return code.unionByName(sql)
 
     def _cut(self, chunks: DataFrame) -> DataFrame:

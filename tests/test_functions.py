@@ -137,20 +137,65 @@ ALTER TABLE app.users ADD COLUMN x int REFERENCES other(id);
 """
 
 
+def _statements(text):
+    return [text[s:e] for s, e in sqltext.scanned(text)]
+
+
 def test_sql(spark):
     df = one(spark, "db/x.sql", SQL, names=["file_path", "content"])
-    parts = value(df, sqltext.statements(F.col("content")))
+    parts = _statements(SQL)
     assert len(parts) == 5 and parts[2].endswith("plpgsql")
     rows = {r["symbol_name"] + r["chunk_type"]: r for r in sqltext.sql_chunks(df).collect()}
     assert set(rows) == {"usersstruct", "users_idxconst", "ffunction", "usersmethod"}
-    assert rows["usersstruct"]["package_name"] == "app" and rows["usersstruct"]["dialect"] == "postgres"
-    assert rows["users_idxconst"]["receiver"] == "app.users" and rows["usersmethod"]["receiver"] == "alter"
-    assert rows["usersmethod"]["imports"] == ["other"] and "sql-feature:jsonb" in rows["usersstruct"]["features"]
+    users = rows["usersstruct"]
+    assert users["package_name"] == "app" and users["dialect"] == "postgres" and users["doc_comment"] == "first; comment" and (users["start_line"], users["end_line"]) == (1, 2)
+    assert rows["users_idxconst"]["receiver"] == "users" and rows["users_idxconst"]["imports"] == ["users"] and rows["usersmethod"]["receiver"] == "alter"
+    assert rows["usersmethod"]["imports"] == ["other"] and "sql-feature:jsonb" in users["features"] and rows["usersmethod"]["start_line"] == 6
     go = one(spark, "CREATE TABLE a (x NVARCHAR(5))\nGO\nCREATE TABLE b (y int IDENTITY(1,1))\nGO\n")
-    assert len(value(go, sqltext.statements(F.col("c0")))) == 2
     assert value(go, sqltext.dialect_of_content(F.col("c0"))) == "mssql"
     assert value(one(spark, ""), sqltext.dialect_of_content(F.col("c0"))) is None
     assert value(one(spark, "x/mysql/a.sql"), sqltext.dialect_of_path(F.col("c0"))) == "mysql"
+    none = spark.createDataFrame([("a.sql", None), ("b.sql", ""), (None, "-- only a remark\n;;"), (None, "CREATE TABLE t (a int)")], "file_path string, content string")
+    assert [(r["file_path"], r["symbol_name"], r["dialect"]) for r in sqltext.sql_chunks(none).collect()] == [(None, "t", "ansi")]
+
+
+@pytest.mark.parametrize(
+    ("text", "parts"),
+    [
+        ("a; b", ["a", "b"]), ("a;;\n ;b;", ["a", "b"]), ("SELECT ';' ; b", ["SELECT ';'", "b"]), ("SELECT 'it''s;' ; b", ["SELECT 'it''s;'", "b"]), ('x "a;b" ; y', ['x "a;b"', "y"]), ("x `a;b`; y", ["x `a;b`", "y"]),
+        ("x [a;b]; y", ["x [a;b]", "y"]), ("-- a;b\nc; d", ["-- a;b\nc", "d"]), ("/* a; /* b; */ c; */ d; e", ["/* a; /* b; */ c; */ d", "e"]), ("/* open ; a", ["/* open ; a"]), ("$$ a; $$; b", ["$$ a; $$", "b"]),
+        ("$x$ a; $$ b; $x$; c", ["$x$ a; $$ b; $x$", "c"]), ("$1; b", ["$1", "b"]), ("a\nGO\nb\ngo\r\nc", ["a", "b", "c"]), ("GOTO x; b", ["GOTO x", "b"]), ("DELIMITER //\na; b //\nc //\nDELIMITER ;\nd; e", ["a; b", "c", "d", "e"]),
+        ("a\ndelimiter $$\nb; c$$", ["a", "b; c"]), ("'open ; a", ["'open ; a"]), ("", []), (" \n;", []), ("a - b; c / d", ["a - b", "c / d"]),
+    ],
+)
+def test_sql_statements(text, parts):
+    assert _statements(text) == parts
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "receiver", "package", "name", "imports"),
+    [
+        ("CREATE OR REPLACE TABLE a.t (x int REFERENCES b.u)", "struct", None, "a", "t", ["u"]), ("create temp table if not exists t(x)", "struct", None, None, "t", []), ('CREATE TABLE "s"."T" (x)', "struct", None, "s", "T", []),
+        ("CREATE OR REPLACE MATERIALIZED VIEW m AS SELECT * FROM a.t JOIN u", "type", None, None, "m", ["t", "u"]), ("CREATE VIEW v AS SELECT * FROM v, w", "type", None, None, "v", []), ("CREATE FUNCTION f(a int) RETURNS int", "function", None, None, "f", []),
+        ("CREATE PROCEDURE p.q() BEGIN SELECT 1; END", "function", None, "p", "q", []), ("CREATE UNIQUE INDEX i ON a.t (x)", "const", "t", None, "i", ["t"]), ("CREATE TRIGGER g BEFORE UPDATE\nON a.t FOR EACH ROW", "method", "t", None, "g", ["t"]),
+        ("CREATE TYPE e AS ENUM ('a')", "type", None, None, "e", []), ("CREATE SCHEMA IF NOT EXISTS s", "module", None, None, "s", []), ("CREATE SEQUENCE s.q", "const", None, "s", "q", []), ("ALTER TABLE IF EXISTS a.t ADD x int REFERENCES b(i)", "method", "alter", "a", "t", ["b"]),
+        ("DROP TABLE IF EXISTS a.t", "const", "drop", "a", "t", []), ("COMMENT ON COLUMN a.t.x IS 'y'", "const", "comment", "a", "t.x", []), ("GRANT SELECT ON a.t TO r", "const", "grant", "a", "t", []),
+        ("/* a /* b */ */ -- c\nCREATE TABLE t (x)", "struct", None, None, "t", []), ("CREATE TABLE [a].[t] (x)", "struct", None, "a", "t", []),
+    ],
+)
+def test_sql_kinds(text, kind, receiver, package, name, imports):
+    assert sqltext.classify(text) == {"chunk_type": kind, "receiver": receiver, "symbol_name": name, "package_name": package, "imports": imports}
+
+
+def test_sql_that_defines_nothing():
+    assert [sqltext.classify(x) for x in ("SELECT 1", "INSERT INTO t VALUES (1)", "-- CREATE TABLE t", "DROP DATABASE x", "")] == [None] * 5
+
+
+def test_sql_dialect_of_file_and_statement(spark):
+    text = "CREATE TABLE a (x int AUTO_INCREMENT) ENGINE=InnoDB;\nCREATE TABLE b (x int);\nCREATE TABLE c (x JSONB, y SERIAL);"
+    rows = spark.createDataFrame([("x.sql", text), ("mssql/x.sql", text)], "file_path string, content string")
+    got = {(r["file_path"], r["symbol_name"]): r["dialect"] for r in sqltext.sql_chunks(rows).collect()}
+    assert [got["x.sql", n] for n in "abc"] == ["mysql", "mysql", "postgres"] and [got["mssql/x.sql", n] for n in "abc"] == ["mysql", "mssql", "postgres"]
 
 
 def test_script_blocks(spark):
