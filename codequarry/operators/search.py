@@ -51,7 +51,12 @@ def _packed(vectors: DataFrame, id_col: str, vec_col: str, dim: int, names: tupl
     return rows.mapInArrow(pack, f"{names[0]} binary, {names[1]} binary")
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int = CHANNEL, dim: int = 64, query_col: str = "query_id", id_col: str = "chunk_id", vec_col: str = "embedding", distinct: bool = False) -> DataFrame:
+def are_few(queries: DataFrame) -> bool:
+    """Whether queries may be sent to all tasks."""
+    return queries.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int = CHANNEL, dim: int = 64, query_col: str = "query_id", id_col: str = "chunk_id", vec_col: str = "embedding", distinct: bool = False, few: bool | None = None) -> DataFrame:
     """``query_id, chunk_id, distance, similarity, rank``: exact search, the ``k`` vectors nearest to each query by Euclidean distance; ties by id.
 
     Both sides are packed into blocks, and every block of queries meets every block
@@ -88,7 +93,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = CHANNEL, dim: int =
 
     left = _packed(queries, query_col, vec_col, dim, ("qi", "qv"))
     right = _packed(vectors, id_col, vec_col, dim, ("vi", "vv"), distinct)
-    if queries.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES:
+    if are_few(queries) if few is None else few:
         left = F.broadcast(left)
     found = left.crossJoin(right).select("qi", "qv", "vi", "vv").mapInArrow(compare, "query_id long, chunk_id long, distance double")
     best = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
@@ -159,10 +164,10 @@ def _query_parts(queries: DataFrame, query_col: str, text_col: str, stem: bool)
     return stemmed(rows) if stem else rows
 
 
-def query_tokens(queries: DataFrame, index: Index, query_col: str = "query_id", text_col: str = "query", stem: bool = False) -> DataFrame:
+def query_tokens(queries: DataFrame, index: Index, query_col: str = "query_id", text_col: str = "query", stem: bool = False, few: bool | None = None) -> DataFrame:
     """``query_id, phrase, part, parts, token``: the tokens of the index that the words of the queries stand for. Prefixes meet the vocabulary on their first two letters."""
     parts, words = _query_parts(queries, query_col, text_col, stem), index.words.select("token")
-    if queries.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES:
+    if are_few(queries) if few is None else few:
         parts = F.broadcast(parts)
     head = lambda c: F.substring(c, 1, 2)
     open_ended = parts.filter("is_prefix").select("query_id", "phrase", "part", "parts", F.col("token").alias("prefix"))
@@ -174,21 +179,21 @@ def query_tokens(queries: DataFrame, index: Index, query_col: str = "query_id",
     return expanded.select(columns).unionByName(single.select(columns)).unionByName(exact.select(columns)).distinct()
 
 
-def phrase_hits(queries: DataFrame, index: Index, query_col: str = "query_id", text_col: str = "query", stem: bool = False) -> DataFrame:
+def phrase_hits(queries: DataFrame, index: Index, query_col: str = "query_id", text_col: str = "query", stem: bool = False, few: bool | None = None) -> DataFrame:
     """``query_id, phrase, chunk_id, n_tokens, tf``: how often each phrase of each query occurs in each chunk.
 
     Tokens join the index by equality; those of queries are sent if there are at most
     ``MOST_SENT``, and filter the scan if they are few. Places are read for phrases of
     several tokens only.
     """
-    wanted = query_tokens(queries, index, query_col, text_col, stem)
+    wanted = query_tokens(queries, index, query_col, text_col, stem, few)
     rows, single, several = index.postings, F.col("parts") == 1, True
     # At most one row more than may be sent.
-    few = wanted.limit(MOST_SENT + 1).toArrow()
-    if few.num_rows <= MOST_SENT:
-        names = set(few["token"].to_pylist())
-        several = any(n > 1 for n in few["parts"].unique().to_pylist())
-        wanted = F.broadcast(queries.sparkSession.createDataFrame(few, wanted.schema))
+    told = wanted.limit(MOST_SENT + 1).toArrow()
+    if told.num_rows <= MOST_SENT:
+        names = set(told["token"].to_pylist())
+        several = any(n > 1 for n in told["parts"].unique().to_pylist())
+        wanted = F.broadcast(queries.sparkSession.createDataFrame(told, wanted.schema))
         if len(names) <= MOST_FILTERED:
             rows = rows.filter(F.col("token").isin(sorted(names)))
     group = ["query_id", "phrase", "chunk_id", "n_tokens"]
@@ -196,15 +201,16 @@ def phrase_hits(queries: DataFrame, index: Index, query_col: str = "query_id", t
     if not several:
         return alone
     at = rows.join(wanted.filter(~single), "token").select(*group, "part", "parts", F.explode("at").alias("place")).withColumn("start", F.col("place") - F.col("part"))
-    whole = at.groupBy(*group, "parts", "start").agg(F.countDistinct("part").alias("n")).filter("n = parts")
+    # A place holds one token, so no part counts twice.
+    whole = at.groupBy(*group, "parts", "start").agg(F.count("*").alias("n")).filter("n = parts")
     return alone.unionByName(whole.groupBy(*group).agg(F.count("*").alias("tf")))
 
 
-def full_text(queries: DataFrame, index: Index, chunks: DataFrame, k: int = CHANNEL, scope: str | None = None, stem: bool = False, query_col: str = "query_id", text_col: str = "query") -> DataFrame:
+def full_text(queries: DataFrame, index: Index, chunks: DataFrame, k: int = CHANNEL, scope: str | None = None, stem: bool = False, query_col: str = "query_id", text_col: str = "query", few: bool | None = None) -> DataFrame:
     """``query_id, chunk_id, score, rank``: the ``k`` best chunks of each query by BM25 over all columns; the scope counts before the cut, ties go to the smaller id."""
-    hits = phrase_hits(queries, index, query_col, text_col, stem)
-    # One row a phrase; both uses of the hits share their shuffle.
-    spread = hits.groupBy("query_id", "phrase").agg(F.count("*").alias("df"))
+    hits = phrase_hits(queries, index, query_col, text_col, stem, few)
+    # Of the same columns, so that both uses of the hits share their shuffle.
+    spread = hits.groupBy("query_id", "phrase").agg(F.count("tf").alias("df"))
     idf = F.log((F.lit(float(index.n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     rated = hits.join(spread, ["query_id", "phrase"])
     weight = F.when(idf > 0, idf).otherwise(F.lit(1e-6))
@@ -229,8 +235,9 @@ def fused(vector_hits: DataFrame, text_hits: DataFrame, limit: int = 10) -> Data
 
 def hybrid(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, index: Index, limit: int = 10, scope: str | None = None, dim: int = 64, stem: bool = False, distinct: bool = False) -> DataFrame:
     """Both channels of ``query_id, query, embedding`` and their fusion; the vector channel is filtered by scope after its cut, the text channel before."""
-    near = within_scope(nearest(queries, vectors, CHANNEL, dim, distinct=distinct), chunks, scope)
-    text = full_text(queries, index, chunks, CHANNEL, scope, stem)
+    few = are_few(queries)
+    near = within_scope(nearest(queries, vectors, CHANNEL, dim, distinct=distinct, few=few), chunks, scope)
+    text = full_text(queries, index, chunks, CHANNEL, scope, stem, few=few)
     return fused(near, text, limit)
 
 
@@ -269,6 +276,11 @@ def search_symbols(chunks: DataFrame, name: str, exact: bool = False, language:
     return found.orderBy(F.asc_nulls_first("file_path"), F.asc_nulls_first("start_line"), "chunk_id").limit(min(limit, 100))
 
 
+def symbols_named(chunks: DataFrame, names: DataFrame) -> DataFrame:
+    """The chunks whose symbol is one of ``asked`` of ``names``, whatever their number; null names match nothing."""
+    return chunks.dropDuplicates(["chunk_id"]).join(names.select(F.col("asked").alias("symbol_name")).distinct(), "symbol_name", "left_semi").select(chunks.columns)
+
+
 def clean_tags(tags: DataFrame) -> DataFrame:
     """``chunk_id, tag, weight``: one row a chunk and tag (trimmed, lower-cased) with the largest weight; a null weight counts 1, null and blank tags are dropped."""
     name = F.lower(F.regexp_replace("tag", r"(?U)^\s+|\s+$", ""))

@@ -140,9 +140,9 @@ def search_symbol(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def search_symbol_exact(spark: SparkSession, d: str) -> DataFrame:
-    chunks = _chunks(spark, d)
-    asked = chunks.filter("chunk_id % 100 = 0").select("symbol_name").distinct()
-    return chunks.join(asked, "symbol_name", "left_semi").select("chunk_id", "symbol_name", "file_path", "start_line")
+    """The chunks of every 100th chunk's symbol."""
+    asked = _chunks(spark, d).filter("chunk_id % 100 = 0").select(F.col("symbol_name").alias("asked"))
+    return search.symbols_named(_chunks(spark, d), asked).select("chunk_id", "symbol_name", "file_path", "start_line")
 
 
 def _references(spark: SparkSession, d: str) -> DataFrame:
@@ -293,8 +293,9 @@ def embedding_texts(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def hashed_embeddings(spark: SparkSession, d: str) -> DataFrame:
-    rows = _chunks(spark, d)
-    return embedding.embedded(rows, hashing.embedding_text(F.col("signature"), F.col("doc_comment"), F.col("content")), embedding.hashed())
+    """The place of the component that is not 0."""
+    found = embedding.embedded(_chunks(spark, d), hashing.embedding_text(F.col("signature"), F.col("doc_comment"), F.col("content")), embedding.hashed())
+    return found.select("chunk_id", F.array_position("embedding", F.lit(1.0).cast("float")).alias("component"))
 
 
 @query

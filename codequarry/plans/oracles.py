@@ -88,6 +88,7 @@ _RESOURCES = rf"""{_CHUNKS}, seg AS (SELECT chunk_id, file_path, symbol_name, li
     res AS (SELECT chunk_id, tag, min(n) AS n FROM (SELECT chunk_id, 'resource:' || unnest(l) AS tag, generate_subscripts(l, 1) AS n FROM listed WHERE EXCLUDED) WHERE tag IS NOT NULL GROUP BY ALL)"""
 _NOT_VENDORED = "NOT regexp_matches(file_path, '^node_modules/.*$|^vendor/.*$')"
 
+_RULES = r"""list_filter([CASE WHEN regexp_matches(s, '\bcache\w*') THEN 'uses-cache' END, CASE WHEN regexp_matches(s, '(?:throw new|raise) \w+') THEN 'raises' END, CASE WHEN regexp_matches(s, 'receipts?/') THEN 'receipts' END], lambda t: t IS NOT NULL)"""
 _LANGUAGE = "CASE regexp_extract(lower(file_path), '(\\.[^.]*)$', 1) " + " ".join(f"WHEN '{e}' THEN '{x}'" for e, x in structure.LANGUAGES.items()) + " END"
 _LOOKUPS = "l AS (SELECT event_id AS lookup_id, sha256(event_type || ' ' || (user_id % 50)) AS query_hash, event_type || ' ' || (user_id % 50) AS query_text, CASE WHEN user_id % 4 = 0 THEN 'v1' ELSE 'v2' END AS version_sha, ts::TIMESTAMP AS ts FROM events)"
 _CACHE = f"""{_LOOKUPS}, e AS (SELECT query_hash, query_text, min(version_sha) AS version_sha, min(ts) AS created_at, min(ts) + INTERVAL 24 HOUR AS expires_at, 1 AS hit_count,
@@ -146,7 +147,21 @@ ORACLES = {
     "base_tags": f"WITH {_CHUNKS} SELECT DISTINCT chunk_id, unnest(list_concat([chunk_type], list_filter(string_split(file_path, '/'), lambda s: s IN ({_list(identifiers.BASE_BUCKETS)})))) AS tag FROM c WHERE file_path IS NOT NULL",
     "resource_tags": f"WITH {_RESOURCES.replace('EXCLUDED', _NOT_VENDORED)} SELECT chunk_id, (row_number() OVER (PARTITION BY chunk_id ORDER BY n) - 1)::INT AS n, tag, 3 AS weight FROM res",
     "rule_tags": rf"""WITH {_CHUNKS}, x AS (SELECT chunk_id, concat_ws(chr(10), file_path, content) AS s FROM c)
-        SELECT chunk_id, unnest(list_filter([CASE WHEN regexp_matches(s, '\bcache\w*') THEN 'uses-cache' END, CASE WHEN regexp_matches(s, '(?:throw new|raise) \w+') THEN 'raises' END, CASE WHEN regexp_matches(s, 'receipts?/') THEN 'receipts' END], lambda t: t IS NOT NULL)) AS tag FROM x""",
+        SELECT chunk_id, unnest({_RULES}) AS tag FROM x""",
+    "chunk_tag_rows": rf"""WITH {_RESOURCES.replace('EXCLUDED', 'true')}, x AS (SELECT chunk_id, concat_ws(chr(10), file_path, content) AS s FROM c),
+        every AS (SELECT chunk_id, unnest(list_concat([chunk_type], list_filter(string_split(file_path, '/'), lambda s: s IN ({_list(identifiers.BASE_BUCKETS)})))) AS tag FROM c WHERE file_path IS NOT NULL
+            UNION ALL SELECT chunk_id, tag FROM res UNION ALL SELECT chunk_id, unnest({_RULES}) FROM x)
+        SELECT DISTINCT chunk_id, tag, CASE WHEN starts_with(tag, 'resource:') THEN 3 ELSE 1 END AS weight FROM every WHERE tag IS NOT NULL""",
+    "hashed_embeddings": f"""WITH {_CHUNKS}, x AS (SELECT chunk_id, array_to_string(list_filter([signature, doc_comment, content], lambda s: s IS NOT NULL AND s <> ''), chr(10) || chr(10)) AS s FROM c),
+        u AS (SELECT chunk_id, list_transform(list_filter(string_split(s, ''), lambda k: k <> ''), lambda k: CASE WHEN unicode(k) < 65536 THEN unicode(k) ELSE 55296 + ((unicode(k) - 65536) >> 10) END::BIGINT) AS l FROM x),
+        h AS (SELECT chunk_id, list_reduce(list_prepend(2166136261::BIGINT, l), lambda a, b: (xor(a, b) * 16777619) & 4294967295) AS h FROM u)
+        SELECT chunk_id, (abs(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) % 64 + 1)::BIGINT AS component FROM h""",
+    "script_blocks": rf"""WITH {_CHUNKS}, w AS (SELECT chunk_id, '<script>' || chr(10) || content || chr(10) || '</script>' || chr(10) || '<p>' || coalesce(symbol_name, '') || '</p>' AS s FROM c
+            WHERE language = 'svelte' AND content IS NOT NULL AND file_path IS NOT NULL),
+        b AS (SELECT chunk_id, s, unnest(regexp_extract_all(s, '(?is)<script\b[^>]*>.*?</script\s*>')) AS b FROM w)
+        SELECT chunk_id, regexp_matches(regexp_extract(b, '(?is)^<script\b([^>]*)>', 1), '(?i)context\s*=\s*["'']?module|\bmodule\b') AS is_module, length(regexp_extract(b, '(?is)^<script\b[^>]*>(.*?)</script\s*>$', 1))::INT AS n,
+            (length(split_part(s, b, 1)) - length(replace(split_part(s, b, 1), chr(10), '')) + 1)::INT AS first_line,
+            regexp_replace(regexp_replace(s, '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>', '', 'g'), '^\s+|\s+$', '', 'g') AS template FROM b""",
     "clean_tags": f"WITH {_TAGS} SELECT chunk_id, tag, weight FROM t",
     "file_languages": f"SELECT file_path, {_LANGUAGE} AS detected FROM files",
     "glob_matches": r"SELECT file_path FROM files WHERE regexp_matches(file_path, '^src/(?:.*/)?[^/]*\.ts$|^services/[^/]*/src/.*$|^(?:.*/)?api/[^/]*\.go$')",
