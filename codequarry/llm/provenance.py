@@ -6,7 +6,7 @@ Vendored copies are found by winnowing: token streams are normalized (names of
 projects, numbers and strings become one token each), k-grams are hashed, and the
 smallest hash of each window is kept. A fingerprint is widespread if it comes from
 many unrelated owners. There are two kinds of streams. Of code, the owner is the
-repository of the path; a file most of whose fingerprints are widespread is a copy.
+repository of the path (one project's tree is one, each library in it another); a file most of whose fingerprints are widespread is a copy.
 Of notices, that is comment lines before the first or after the last code that name a
 project with a version or a year, the owner is the project named: what copies of many
 projects say alike is a copy's notice, while the own licence header, in however many
@@ -18,7 +18,7 @@ Other evidence is in the path, in generators' remarks, and in the shape of the t
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -192,10 +192,8 @@ def _inspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repository(path: Column) -> Column:
-    """The repository that a path belongs to: its first two folders, or fewer if there are not so many, or those before a library folder, whatever library it holds."""
-    outside = F.regexp_replace(path, r"(?i)(?:^|/)(?:vendor|node_modules|bower_components|third[_-]?party|external|deps|site-packages)/.*$", "/")
-    parts = F.split(outside, "/")
-    return F.concat_ws("/", F.slice(parts, 1, F.least(F.lit(2), F.greatest(F.lit(1), F.size(parts) - 1))))
+    """The repository that a path of one project's tree belongs to: of a library folder the library, else the project itself. Packages of a project are not unrelated, however often code recurs in them."""
+    return F.regexp_extract(path, r"(?i)(?:^|/)(?:vendor|node_modules|bower_components|third[_-]?party|external|deps|site-packages)/([^/]+)/", 1)
 
 
 def _widespread(prints: DataFrame) -> DataFrame:
@@ -212,9 +210,9 @@ def _marked(rows: DataFrame, wide: DataFrame, many: int) -> DataFrame:
     return rows.withColumn("salt", F.pmod(F.xxhash64("file_path", F.lit(7)), F.lit(SALTS)).cast("int")).join(salted, ["print", "salt"], "left_semi").drop("salt")
 
 
-def copied_files(seen: DataFrame) -> DataFrame:
+def copied_files(seen: DataFrame, owner: Callable[[Column], Column] = repository) -> DataFrame:
     """``file_path, widespread, rule`` of the files that are copies by their fingerprints: ``code`` or ``notice``, and the share of fingerprints that is widespread."""
-    code = seen.select("file_path", F.xxhash64(repository(F.col("file_path"))).alias("owner"), F.explode("prints").alias("print"))
+    code = seen.select("file_path", F.xxhash64(owner(F.col("file_path"))).alias("owner"), F.explode("prints").alias("print"))
     told = seen.select("file_path", F.explode("notices").alias("n")).select("file_path", "n.line", "n.size", "n.owner", F.explode("n.prints").alias("print"))
     wide = staged(_widespread(code.select("print", "owner").unionByName(told.select("print", "owner"))), "widespread")
     many = wide.count()
@@ -226,11 +224,13 @@ def copied_files(seen: DataFrame) -> DataFrame:
     return by_code.unionByName(by_notice).filter(F.col("widespread") >= SHARE)
 
 
-def file_evidence(chunks: DataFrame, by_path: bool = True) -> DataFrame:
+def file_evidence(chunks: DataFrame, by_path: bool = True, owner: Callable[[Column], Column] = repository) -> DataFrame:
     """``file_path, reasons, rules``: every file with evidence, why, and the rules that found it: ``code`` and ``notice`` (fingerprints), ``text`` and ``path``.
 
     Null paths are left out; a null content holds no evidence. Repeated rows change
     nothing. Other columns are ignored. Without ``by_path`` only contents count.
+    ``owner`` gives the repository of a path; a collection of many repositories passes
+    its own.
     """
     rows = chunks.select("file_path", "content").filter(F.col("file_path").isNotNull())
     # Read several times below; the inspection of the texts is by far the dearest step.
@@ -240,5 +240,5 @@ def file_evidence(chunks: DataFrame, by_path: bool = True) -> DataFrame:
     if by_path:
         told = F.concat(told, F.array_compact(F.array(*(F.when(F.col("file_path").rlike(p), reason(F.lit(r), "path")) for r, p in PATHS.items()))))
     found = seen.select("file_path", F.explode(told).alias("r")).select("file_path", "r.*")
-    found = found.unionByName(copied_files(seen).select("file_path", F.lit("vendored").alias("reason"), "rule"))
+    found = found.unionByName(copied_files(seen, owner).select("file_path", F.lit("vendored").alias("reason"), "rule"))
     return found.groupBy("file_path").agg(F.sort_array(F.collect_set("reason")).alias("reasons"), F.sort_array(F.collect_set("rule")).alias("rules"))

@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from codequarry.llm import docpairs, provenance, secrets, sentences
 from codequarry.llm.tokens import rank_file
@@ -74,14 +75,16 @@ def test_provenance(spark, path, content, reasons):
 def test_widespread_copies(spark, monkeypatch, sent):
     monkeypatch.setattr(provenance, "MOST_SENT", sent)
     text = "\n".join(f"export function name{i}(alpha{i}) {{ return alpha{i}.beta{i}(gamma{i}, {i}); }}" for i in range(60))
-    n = 3 * provenance.OWNERS
+    n, first = 3 * provenance.OWNERS, lambda path: F.substring_index(path, "/", 1)
     rows = [chunk(i, text, path=f"repo{i}/lib/a.ts") for i in range(n)] + [chunk(99, text.replace("name", "other").replace("alpha", "own"), path="repo0/own/b.ts")]
     # Many files of one repository are no unrelated owners, whatever library folders they lie in.
     rows += [chunk(100 + i, text.replace("beta", "inner"), path=f"one/pkg/extern/lib{i}/a.ts") for i in range(n)]
-    got = {r["file_path"]: r for r in provenance.file_evidence(spark.createDataFrame(rows, CHUNKS), by_path=False).collect()}
+    got = {r["file_path"]: r for r in provenance.file_evidence(spark.createDataFrame(rows, CHUNKS), by_path=False, owner=first).collect()}
     assert set(got) == {f"repo{i}/lib/a.ts" for i in range(n)} and got["repo0/lib/a.ts"]["rules"] == ["code"]
     seen = spark.createDataFrame(rows, CHUNKS).select("file_path", "content").mapInArrow(provenance._inspect, provenance._SEEN)
-    assert {r["widespread"] for r in provenance.copied_files(seen).collect()} == {1.0}
+    assert {r["widespread"] for r in provenance.copied_files(seen, first).collect()} == {1.0}
+    # In one project's tree nothing of this is unrelated.
+    assert provenance.copied_files(seen).count() == 0
 
 
 @pytest.mark.parametrize("sent", [100_000, 0])
