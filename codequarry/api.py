@@ -12,7 +12,7 @@ from codequarry.config import Settings
 from codequarry.functions import chunkers, embedding, hashing, identifiers, sqltext, structure
 from codequarry.functions.vectors import l2_norm
 from codequarry.operators import caching, ledger, search
-from codequarry.session import staged
+from codequarry.session import scratch, staged
 from codequarry.sources import tree
 from codequarry.store import Store, VersionedTable
 
@@ -83,6 +83,11 @@ class Engine:
         part, ``hash_of`` is the hash of a file's bytes. All tables become visible at
         once; only the buckets of changed files are rewritten.
         """
+        with scratch(self.spark):
+            counts = self._run(root, now, full, diff, keep, hash_of, progress).collect()
+        return self.spark.createDataFrame(counts, "change string, n long")
+
+    def _run(self, root: str, now: str, full: bool, diff: Callable[[], DataFrame] | None, keep: Callable[[Column], Column] | None, hash_of: Callable[[Column], Column], progress: Callable[[str], None]) -> DataFrame:
         s, at = self.settings, F.to_timestamp_ntz(F.lit(now))
         base, version = self.store.manifest()
         version = {} if full else version
@@ -246,6 +251,10 @@ class Engine:
 
     def cached_search(self, query: str, version: str, now: str, limit: int = 10, scope: str | None = None, mode: str = "hybrid") -> list[dict]:
         """``search_code`` through the caches: a live entry of the same version answers without a search, one of the same query first, else one of a similar query."""
+        with scratch(self.spark):
+            return self._cached_search(query, version, now, limit, scope, mode)
+
+    def _cached_search(self, query: str, version: str, now: str, limit: int, scope: str | None, mode: str) -> list[dict]:
         at = F.to_timestamp_ntz(F.lit(now))
         one = self.spark.createDataFrame([(0, query, mode, scope, limit, version)], "lookup_id long, q string, m string, s string, l int, version_sha string")
         asked = one.withColumn("query_hash", hashing.query_key(F.col("m"), F.col("q"), F.col("s"), F.col("l")))

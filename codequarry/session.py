@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,12 +51,30 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+#: Folders that this process has staged and not deleted.
+_STAGED: list[str] = []
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read again.
 
     Cuts the lineage and keeps what is read more than once from being computed
-    again. The files survive the loss of any executor.
+    again. The files survive the loss of any executor; ``scratch`` deletes them.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what was staged inside. Results have to be written or collected by then."""
+    began = len(_STAGED)
+    try:
+        yield
+    finally:
+        for path in _STAGED[began:]:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        del _STAGED[began:]
