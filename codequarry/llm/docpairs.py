@@ -274,8 +274,8 @@ def function_doc_pairs(chunks: DataFrame) -> DataFrame:
 
     ``first_line`` and ``last_line`` count the function's lines within ``content`` from 0.
     Rows of other types, without a name or without documentation that says anything
-    give none; a null content is an empty one. A repeated ``chunk_id`` counts once
-    (the greatest pair). Other columns are ignored.
+    give none; a null content is an empty one. A repeated ``chunk_id`` gives a pair
+    each time; ``distinct_pairs`` counts it once. Other columns are ignored.
     """
     wanted = chunks.filter(F.col("chunk_type").isin("function", "method") & F.col("symbol_name").isNotNull())
     rows = wanted.select(F.col("chunk_id").cast("long"), "symbol_name", "content", "doc_comment", F.lower(F.coalesce("language", F.lit(""))).alias("language"))
@@ -284,5 +284,6 @@ def function_doc_pairs(chunks: DataFrame) -> DataFrame:
 
 
 def distinct_pairs(pairs: DataFrame) -> DataFrame:
-    """One pair a chunk."""
-    return pairs.dropDuplicates(["chunk_id"])
+    """One pair a chunk: the greatest one by its columns in their order."""
+    others = [c for c in pairs.columns if c != "chunk_id"]
+    return pairs.groupBy("chunk_id").agg(F.max(F.struct(*others)).alias("p")).select("chunk_id", "p.*")
