@@ -233,7 +233,7 @@ class Engine:
         chunks = self.table("chunks")
         own = chunks.filter(F.col("chunk_id") == chunk_id) if chunk_id is not None else chunks.filter(F.col("file_path") == path)
         refs = own.select(F.lit(0).cast("long").alias("query_id"), "chunk_id", "file_path")
-        found = search.related(refs, chunks, self.table("chunk_tags"), limit, resource_only)
+        found = search.related(refs, chunks, self.table("chunk_tags"), limit, resource_only, single=True)
         return search.hydrated(found.drop("query_id"), chunks, ["file_path", "symbol_name", "start_line"]).orderBy("rank")
 
     def index_status(self, now: str | None = None) -> DataFrame:

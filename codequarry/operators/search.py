@@ -28,6 +28,8 @@ BLOCK = 4_096
 MOST_QUERIES = 65_536
 #: Tokens up to this number are also a filter of the index's scan.
 MOST_FILTERED = 500
+#: A tag of more chunks is frequent: related chunks by it are rated by combinations of tags, not one by one.
+RARE = 512
 #: Queries of a block whose distances are held at once, and pairs whose distance is computed again at once.
 QUERIES, PAIRS = 256, 1 << 16
 
@@ -287,21 +289,147 @@ def clean_tags(tags: DataFrame) -> DataFrame:
     return tags.select("chunk_id", name.alias("tag"), F.coalesce("weight", F.lit(1)).alias("weight")).filter("tag <> ''").groupBy("chunk_id", "tag").agg(F.max("weight").alias("weight"))
 
 
-def related(references: DataFrame, chunks: DataFrame, tags: DataFrame, limit: int = 20, resource_only: bool = False) -> DataFrame:
+def _by_place(*before: Column) -> list[Column]:
+    """An order that ends with the chunk's line and id."""
+    return [*before, F.asc_nulls_first("start_line"), F.asc_nulls_first("chunk_id")]
+
+
+def related(references: DataFrame, chunks: DataFrame, tags: DataFrame, limit: int = 20, resource_only: bool = False, single: bool = False) -> DataFrame:
     """``query_id, chunk_id, score, rank``: chunks that share tags with the reference chunks of each query (``query_id, chunk_id, file_path``), by the sum of the shared tags' weights.
 
     Chunks of the reference's files are left out. Ties: path, then line, then id.
+    ``single``: there is one query, so the chunks that share a tag are rated one by one;
+    of many queries ``_rated`` rates only what may be among the best.
     """
+    limit = min(limit, 100)
     weighted = clean_tags(tags)
     if resource_only:
         weighted = weighted.filter(F.col("tag").startswith("resource:"))
-    wanted = references.join(weighted.select("chunk_id", "tag"), "chunk_id").select("query_id", "tag").distinct()
-    scored = wanted.join(weighted, "tag").groupBy("query_id", "chunk_id").agg(F.sum("weight").alias("score"))
+    if not single:
+        references, weighted = staged(references.select("query_id", "chunk_id", "file_path"), "references"), staged(weighted, "weighted")
+    asking = F.broadcast(references) if not single and are_few(references) else references
+    wanted = asking.join(weighted.select("chunk_id", "tag"), "chunk_id").select("query_id", "tag").distinct()
     one = chunks.dropDuplicates(["chunk_id"]).select("chunk_id", "file_path", "start_line")
     own = references.select("query_id", "file_path").distinct()
-    rows = scored.join(one, "chunk_id").join(own, ["query_id", "file_path"], "left_anti")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_first("file_path"), F.asc_nulls_first("start_line"), "chunk_id")
-    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= min(limit, 100)).select("query_id", "chunk_id", "score", "rank")
+    if single:
+        rated = wanted.join(weighted, "tag").groupBy("query_id", "chunk_id").agg(F.sum("weight").alias("score")).join(one, "chunk_id")
+    else:
+        rated = _rated(staged(wanted, "wanted"), weighted, one, own, limit)
+    rows = rated.join(own, ["query_id", "file_path"], "left_anti")
+    order = Window.partitionBy("query_id").orderBy(*_by_place(F.desc("score"), F.asc_nulls_first("file_path")))
+    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("query_id", "chunk_id", "score", "rank")
+
+
+def _rated(wanted: DataFrame, weighted: DataFrame, one: DataFrame, own: DataFrame, limit: int) -> DataFrame:
+    """``query_id, chunk_id, file_path, start_line, score``: of each query at least the best ``limit`` chunks that share a tag of ``wanted`` (``query_id, tag``) and lie in no file of ``own``.
+
+    Pairs of a query and a chunk are made for rare tags only. Frequent ones occur in
+    few combinations: queries that ask for the same frequent tags are one, and of chunks
+    that have the same ones with the same weights only those stay that may be among the
+    best of a query. Those of a rare tag are rated over all tags and never score less
+    than by frequent ones, since tags with negative weights count as frequent.
+    """
+    sums = dict(weighted.groupBy().agg(F.sum("weight").alias("score")).dtypes)["score"]
+    # So many files are enough for the best of any query: of them it leaves out at most its own.
+    files = limit + (own.filter("file_path is not null").groupBy("query_id").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).head()["n"] or 0)
+    sizes = weighted.groupBy("tag").agg(F.count("*").alias("n"), F.min("weight").alias("least"))
+    names = wanted.select("tag").distinct()
+    kinds = staged(sizes.join(names, "tag", "left_semi").select("tag", ((F.col("n") > RARE) | (F.col("least") < 0)).alias("hot")), "kinds")
+    if kinds.count() <= MOST_SENT:
+        kinds = F.broadcast(kinds)
+    listed = weighted.join(kinds, "tag").groupBy("chunk_id").agg(*(F.sort_array(F.collect_list(F.when(F.col("hot") if hot else ~F.col("hot"), F.struct("tag", F.col("weight").cast(sums).alias("weight"))))).alias(name) for name, hot in (("hot", True), ("rare", False))))
+    tagged = staged(one.join(listed, "chunk_id"), "tagged")
+
+    asked = wanted.join(kinds, "tag").groupBy("query_id").agg(F.sort_array(F.collect_list(F.when(F.col("hot"), F.col("tag")))).alias("asked"))
+    queries = staged(asked.withColumn("lead", F.min("query_id").over(Window.partitionBy("asked"))), "queries")
+    leads = queries.filter("size(asked) > 0").groupBy("asked").agg(F.first("lead").alias("lead"))
+    best = _best_by_hot(leads, tagged, limit, files)
+    by_hot = queries.select("query_id", F.col("lead").alias("_lead")).join(best, F.col("_lead").eqNullSafe(F.col("lead"))).drop("_lead", "lead")
+
+    posted = tagged.select(F.col("chunk_id"), F.explode("rare").alias("t")).select("chunk_id", "t.tag", "t.weight")
+    by_rare = wanted.join(posted, "tag").groupBy("query_id", "chunk_id").agg(F.sum("weight").alias("part"))
+    pairs = by_rare.join(tagged.drop("rare"), "chunk_id").join(queries.select(F.col("query_id").alias("_query"), "asked"), F.col("query_id").eqNullSafe(F.col("_query")))
+    shared = F.aggregate(F.filter("hot", lambda t: F.array_contains("asked", t["tag"])), F.lit(0).cast(sums), lambda a, t: (a + t["weight"]).cast(sums))
+    columns = ["query_id", "chunk_id", "file_path", "start_line"]
+    both = by_hot.select(*columns, "score").unionByName(pairs.select(*columns, (F.col("part") + shared).cast(sums).alias("score")))
+    return both.groupBy(*columns).agg(F.max("score").alias("score"))
+
+
+def _best_by_hot(leads: DataFrame, tagged: DataFrame, limit: int, files: int) -> DataFrame:
+    """``lead, chunk_id, file_path, start_line, score``: of each list of tags (``asked, lead``) the best chunks by the tags of ``hot``, down to those of ``files`` files."""
+    # Of chunks with equal tags those behind so many files, or behind so many chunks of their own file, are never among the best.
+    by_class = tagged.filter("size(hot) > 0").withColumn("_f", F.dense_rank().over(Window.partitionBy("hot").orderBy(F.asc_nulls_first("file_path")))).filter(F.col("_f") <= files)
+    by_file = Window.partitionBy("hot", "file_path").orderBy(*_by_place())
+    kept = by_class.withColumn("_n", F.row_number().over(by_file)).filter(F.col("_n") <= limit).select("chunk_id", "file_path", "start_line", "hot")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in filter(len, batches):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, b.schema) as out:
+                out.write_batch(b)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block"])
+
+    def opened(block: bytes) -> pa.Table:
+        return pa.ipc.open_stream(block).read_all().combine_chunks()
+
+    def lists(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+        """The row of each item of a column of lists, and the items."""
+        whole = column.combine_chunks()
+        return np.repeat(np.arange(len(whole)), np.asarray(whole.value_lengths())), whole.flatten()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for left, right in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                asked, rows = opened(left), opened(right)
+                rows = rows.take(pa.compute.sort_indices(rows, [("file_path", "ascending"), ("start_line", "ascending"), ("chunk_id", "ascending")], null_placement="at_start"))
+                path = np.asarray(rows["file_path"].combine_chunks().dictionary_encode(null_encoding="encode").indices)
+                at, items = lists(rows["hot"])
+                names = items.field("tag").dictionary_encode()
+                tag, weight, known = np.asarray(names.indices), np.asarray(items.field("weight")), {t: i for i, t in enumerate(names.dictionary.to_pylist())}
+                by_tag = np.argsort(tag, kind="stable")
+                ends = np.searchsorted(tag[by_tag], np.arange(len(known) + 1))
+                at, weight = at[by_tag], weight[by_tag]
+                chosen, scores, of = [], [], []
+                for q, wants in enumerate(asked["asked"].to_pylist()):
+                    spans = [slice(ends[i], ends[i + 1]) for i in (known.get(t) for t in wants) if i is not None]
+                    if not spans:
+                        continue
+                    # A row has a tag once, so the parts are added row by row.
+                    score, shares = np.zeros(rows.num_rows, weight.dtype), np.zeros(rows.num_rows, bool)
+                    for s in spans:
+                        score[at[s]] += weight[s]
+                        shares[at[s]] = True
+                    left_over, seen = np.flatnonzero(shares), 0
+                    taken: list[np.ndarray] = []
+                    while len(left_over) and seen < files:
+                        level = score[left_over] == score[left_over].max()
+                        taken.append(left_over[level])
+                        left_over = left_over[~level]
+                        seen = len(np.unique(path[np.concatenate(taken)]))
+                    found = np.concatenate(taken)
+                    first = np.zeros(len(found), np.int64)
+                    first[np.unique(path[found], return_index=True)[1]] = 1
+                    found = found[np.cumsum(first) <= files]
+                    chosen.append(found)
+                    scores.append(score[found])
+                    of.append(np.full(len(found), q))
+                if chosen:
+                    picked = rows.take(pa.array(np.concatenate(chosen)))
+                    found = [asked["lead"].take(pa.array(np.concatenate(of))), *(picked[c] for c in ("chunk_id", "file_path", "start_line")), pa.array(np.concatenate(scores))]
+                    yield from pa.Table.from_arrays(found, ["lead", "chunk_id", "file_path", "start_line", "score"]).combine_chunks().to_batches()
+
+    kinds = dict(kept.dtypes)
+    score = kept.schema["hot"].dataType.elementType["weight"].dataType.simpleString()
+    schema = ", ".join(f"{n} {t}" for n, t in (("lead", dict(leads.dtypes)["lead"]), *((c, kinds[c]) for c in ("chunk_id", "file_path", "start_line")), ("score", score)))
+    asked = leads.mapInArrow(pack, "block binary").withColumnRenamed("block", "asked")
+    if are_few(leads):
+        asked = F.broadcast(asked)
+    found = asked.crossJoin(kept.mapInArrow(pack, "block binary")).select("asked", "block").mapInArrow(compare, schema)
+    # The same cut over the rows of all blocks.
+    in_file = Window.partitionBy("lead", "file_path").orderBy(*_by_place(F.desc("score")))
+    in_order = Window.partitionBy("lead").orderBy(*_by_place(F.desc("score"), F.asc_nulls_first("file_path"))).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = found.withColumn("_n", F.row_number().over(in_file)).filter(F.col("_n") <= limit)
+    return cut.withColumn("_f", F.sum((F.col("_n") == 1).cast("int")).over(in_order)).filter(F.col("_f") <= files).drop("_n", "_f")
 
 
 def index_totals(chunks: DataFrame, files: DataFrame) -> DataFrame:

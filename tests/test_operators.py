@@ -66,6 +66,51 @@ def test_symbols(spark):
         ids("b", limit=0)
 
 
+def _related(refs, chunks, tags, limit):
+    """Related chunks pair by pair: ``(query, chunk, score, rank)``."""
+    weights, found = {}, set()
+    for c, tag, w in tags:
+        own = weights.setdefault(c, {})
+        own[tag] = max(w, own.get(tag, w))
+    for q in {r[0] for r in refs}:
+        wanted, left_out = {t for r in refs if r[0] == q for t in weights.get(r[1], ())}, {r[2] for r in refs if r[0] == q} - {None}
+        rows = [(-sum(weights[c][t] for t in wanted & set(weights[c])), path or "", line or 0, c) for c, path, line in chunks if path not in left_out and wanted & set(weights.get(c, ()))]
+        found |= {(q, r[-1], -r[0], n) for n, r in enumerate(sorted(rows)[:limit], 1)}
+    return found
+
+
+@pytest.mark.parametrize("rare", [0, 8, 10_000])
+def test_related_against_pair_by_pair(spark, monkeypatch, rare):
+    monkeypatch.setattr(search, "RARE", rare, raising=False)
+    rng = np.random.default_rng(rare)
+    paths = [None, "a", "b", "\u00e9", *(f"f{i}" for i in range(20))]
+    chunks = [(i, paths[rng.integers(len(paths)) if i % 3 else 1], int(rng.integers(1, 4)) if i % 5 else None) for i in range(400)]
+    tags = [(i, f"t{min(int(rng.exponential(6)), 30)}", int(rng.choice([1, 1, 3, 0, -2]))) for i in range(405) for _ in range(rng.integers(5))]
+    refs = [(int(rng.integers(30)), i, chunks[i][1]) for i in range(0, 400, 5)]
+    tables = (spark.createDataFrame(x, s) for x, s in ((refs, "query_id long, chunk_id long, file_path string"), (chunks, "chunk_id long, file_path string, start_line int"), (tags, "chunk_id long, tag string, weight int")))
+    assert {tuple(r) for r in search.related(*tables, limit=7).collect()} == _related(refs, chunks, tags, 7)
+
+
+def _shuffled(spark):
+    """Rows that all stages so far have written for shuffles."""
+    sc, gateway = spark.sparkContext, spark.sparkContext._gateway
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(gateway.jvm.java.util.ArrayList(), False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return {(stages.apply(i).stageId(), stages.apply(i).attemptId()): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+
+def test_related_by_frequent_tags_makes_no_pair_of_each(spark):
+    chunks = [(i, f"f{i % 500}", i) for i in range(3_000)]
+    tags = [(i, "function", 1) for i in range(3_000)] + [(i, f"part{i % 4}", 1) for i in range(3_000)]
+    refs = [(i, i, f"f{i % 500}") for i in range(0, 3_000, 10)]
+    tables = [spark.createDataFrame(x, s) for x, s in ((refs, "query_id long, chunk_id long, file_path string"), (chunks, "chunk_id long, file_path string, start_line int"), (tags, "chunk_id long, tag string, weight int"))]
+    before = _shuffled(spark)
+    found = {tuple(r) for r in search.related(*tables).collect()}
+    # There are 900,000 pairs.
+    assert sum(n for k, n in _shuffled(spark).items() if k not in before) < 100_000
+    assert found == _related(refs, chunks, tags, 20)
+
+
 def test_classify_and_state(spark):
     at = dt.datetime(2025, 1, 1)
     rows = [("a", "1", at), ("a", "0", at - dt.timedelta(1)), ("b", "2", at), ("c", None, at), (None, "9", at)]
